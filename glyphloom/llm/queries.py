@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from glyphloom.llm.op1 import op1_simhash_near_dedup
 from glyphloom.llm.op3 import op3_media_columns
 from glyphloom.llm.op9 import SQL as SQL9
 from glyphloom.llm.op9 import op9_quality_rules
 from glyphloom.llm.op10 import op10_language_id
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_media_columns": op3_media_columns,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
