@@ -8,6 +8,7 @@ from glyphloom.llm.op3 import op3_media_columns
 from glyphloom.llm.op4 import op4_sentencepiece_codec
 from glyphloom.llm.op5 import op5_licence_scan
 from glyphloom.llm.op6 import op6_toxicity
+from glyphloom.llm.op7 import op7_source_mixing
 from glyphloom.llm.op8 import op8_secret_scan
 from glyphloom.llm.op9 import SQL as SQL9
 from glyphloom.llm.op9 import op9_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op5_licence_scan": op5_licence_scan,
     "op6_toxicity": op6_toxicity,
+    "op7_source_mixing": op7_source_mixing,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
