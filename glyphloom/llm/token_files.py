@@ -39,9 +39,21 @@ BATCH_CHARS = 1 << 21
 
 # What the byte-level pre-tokeniser takes for white space.
 WHITE = "\t-\r \x85\xa0  -     　"
+#: Letters and digits by any version of Unicode, and marks that may end a word.
+PLAIN, MARKS = "0-9A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
 #: The pre-tokeniser never joins white space with what isn't, but for one space before it; and of a run of white space
-#: before a word it leaves the last character. So its own splits lie within these units.
-UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: before a word it leaves the last character. Nor does it join letters with the marks after them. So its own splits lie
+#: within these units.
+UNIT = re.compile(f" ?[{PLAIN}]++(?=[{WHITE}{MARKS}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: A unit that the pre-tokeniser leaves as it is.
+ONE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte: visible ones for themselves, the others in order from code point 256."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class ByteLevelEncoder:
@@ -58,7 +70,15 @@ class ByteLevelEncoder:
         pre = spec["pre_tokenizer"] or {}
         self.by_units = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache = UnitCache(self._encode, self.dtype)
+        self.bpe, self.letters = self.tokenizer.model, byte_letters()
+        self.cache = UnitCache(self._encode_units, self.dtype)
+
+    def _encode_units(self, units: list[str]) -> list[list[int]]:
+        """The same for units: those that the pre-tokeniser leaves as they are go to the library's model directly."""
+        one, letters, tokenize = ONE.fullmatch, self.letters, self.bpe.tokenize
+        rest = [u for u in units if not one(u)]
+        others = iter(self._encode(rest))
+        return [[t.id for t in tokenize(u.encode().decode("latin-1").translate(letters))] if one(u) else next(others) for u in units]
 
     def _encode(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
