@@ -1 +1 @@
-
+"""Operators over word lists, fonts, backgrounds and pixels."""

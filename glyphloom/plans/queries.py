@@ -1,4 +1,519 @@
-"""Registered queries of the core engine."""
+"""Registered queries of the core engine, each with the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphloom.config import GenerationConfig
+from glyphloom.functions import charsets, draws, text
+from glyphloom.operators import backgrounds, fonts, splitter, visibility
+from glyphloom.plans import generate
+from glyphloom.sources import binary, sinks, wordlist
+from glyphloom.storage import kept, shared_dir, with_index
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+SEED = 11
+N, P = 5000, 0.07
+FONT_DIR = "/usr/share/fonts/truetype/dejavu"
+OUT = "out"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    return wordlist.words_of(read(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def distinct_words(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "documents").select(F.explode(text.lines(F.col("text"))).alias("line"))
+    return rows.select(text.strip(F.col("line")).alias("word")).where("word <> ''").distinct()
+
+
+LINES = f"""lines AS (
+  SELECT doc_id, unnest(range(len(a))) AS pos, {text.strip_sql("unnest(a)")} AS word
+  FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS a FROM documents)
+), words AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, pos) - 1 AS i, word FROM lines WHERE word <> ''
+)"""
+
+
+@query(f"WITH {LINES} SELECT i, word FROM words")
+def wordlist_lines(spark, sf):
+    return words(spark, sf)
+
+
+@query(f"WITH {LINES} SELECT count(*) AS n_lines, count(*) FILTER (word = '') AS n_blank FROM lines")
+def wordlist_blank_count(spark, sf):
+    rows = read(spark, sf, "documents").select(F.explode(text.lines(F.col("text"))).alias("line"))
+    return rows.agg(F.count("*").alias("n_lines"), F.count_if(text.strip(F.col("line")) == "").alias("n_blank"))
+
+
+@query(f"""WITH {LINES} SELECT lang, count(*) AS n_words, count(DISTINCT word) AS n_distinct
+FROM lines JOIN documents USING (doc_id) WHERE word <> '' GROUP BY lang""")
+def vocab_distinct_by_lang(spark, sf):
+    rows = read(spark, sf, "documents").select("lang", F.explode(text.lines(F.col("text"))).alias("line"))
+    # Equal lines are counted before the shuffle; the distinct ones are then counted by language.
+    counts = rows.select("lang", text.strip(F.col("line")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return counts.groupBy("lang").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+
+
+@query(f"WITH {LINES} SELECT word, count(*) AS n FROM words GROUP BY word")
+def word_frequency(spark, sf):
+    rows = read(spark, sf, "documents").select(F.explode(text.lines(F.col("text"))).alias("line"))
+    return rows.select(text.strip(F.col("line")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+GRID = [(n, p) for n in (0, 1, 99, 100, 5000) for p in (0.0, 0.07, 0.2, 0.5, 1.0)]
+GRID_SQL = ", ".join(f"({n}, CAST({p} AS DOUBLE))" for n, p in GRID)
+
+
+@query(f"""SELECT n, p, CAST(n - ceil(n * p) AS BIGINT) AS n_train, CAST(ceil(n * p) AS BIGINT) AS n_val FROM (VALUES {GRID_SQL}) t(n, p)""")
+def split_sizes(spark, sf):
+    rows = spark.createDataFrame(GRID, "n int, p double")
+    train, val = splitter.size_columns(F.col("n").cast("bigint"), F.col("p"))
+    return rows.select("n", "p", train.alias("n_train"), val.alias("n_val"))
+
+
+
+def extended(n: int) -> str:
+    return f"{LINES}, ext AS (SELECT k, word FROM range({n}) r(k) JOIN words ON k % (SELECT count(*) FROM words) = i)"
+
+
+RANKED = extended(N) + f""", ranked AS (
+  SELECT *, row_number() OVER (ORDER BY md5('{SEED}:shuffle:' || k || ':' || word), k) - 1 AS rank FROM ext
+), sliced AS (
+  SELECT *, CASE WHEN rank < {splitter.sizes(N, P)[0]} THEN 'train' ELSE 'val' END AS split FROM ranked
+), missing AS (
+  SELECT s.split, v.word FROM (SELECT DISTINCT word FROM words) v, (VALUES ('train'), ('val')) s(split)
+  WHERE NOT EXISTS (SELECT 1 FROM sliced x WHERE x.split = s.split AND x.word = v.word)
+), split AS (
+  SELECT split, word, 0 AS added, lpad(CAST(rank AS VARCHAR), 19, '0') AS o FROM sliced
+  UNION ALL SELECT split, word, 1, md5('{SEED}:added:' || split || ':' || word) FROM missing
+), manifest AS (
+  SELECT split, row_number() OVER (PARTITION BY split ORDER BY added, o, word) - 1 AS idx, word, added FROM split
+)"""
+
+
+@query(f"WITH {extended(20000)} SELECT k, word FROM ext")
+def cyclic_extend(spark, sf):
+    return splitter.cyclic_extend(kept(words(spark, sf), "words"), 20000)
+
+
+@query(f"WITH {extended(700)} SELECT k, word FROM ext")
+def cyclic_truncate(spark, sf):
+    return splitter.cyclic_extend(kept(words(spark, sf), "words"), 700)
+
+
+def _sliced(spark, sf):
+    own = kept(words(spark, sf), "words")
+    return own, splitter.sliced(splitter.shuffled(splitter.cyclic_extend(own, N), SEED), N, P)
+
+
+@query(f"WITH {RANKED} SELECT k, word, rank FROM ranked")
+def shuffle_rank(spark, sf):
+    return splitter.shuffled(splitter.cyclic_extend(kept(words(spark, sf), "words"), N), SEED).select("k", "word", "rank")
+
+
+@query(f"WITH {RANKED} SELECT split, count(*) AS n_rows, count(DISTINCT word) AS n_words FROM sliced GROUP BY split")
+def split_slices(spark, sf):
+    return _sliced(spark, sf)[1].groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("word").alias("n_words"))
+
+
+@query(f"WITH {RANKED} SELECT split, word FROM missing")
+def split_missing_words(spark, sf):
+    own, rows = _sliced(spark, sf)
+    return splitter.missing(rows, splitter.vocabulary(own))
+
+
+@query(f"""WITH {RANKED} SELECT split, idx, printf('%05d.png', idx) AS filename,
+'{OUT}/' || split || '/images/' || printf('%05d.png', idx) AS save_path, word, added FROM manifest""")
+def split_manifest(spark, sf):
+    own = kept(words(spark, sf), "words")
+    return splitter.manifest(splitter.split_words(own, N, P, SEED), OUT).select("split", "idx", "filename", "save_path", "word", "added")
+
+
+@query(f"WITH {RANKED} SELECT split, count(*) AS n_all, count(DISTINCT word) AS n_deduped FROM split GROUP BY split")
+def split_dedupe_mode(spark, sf):
+    own = kept(words(spark, sf), "words")
+    every = splitter.split_words(own, N, P, SEED).groupBy("split").agg(F.count("*").alias("n_all"))
+    once = splitter.split_words(own, N, P, SEED, dedupe=True).groupBy("split").agg(F.count("*").alias("n_deduped"))
+    return every.join(once, "split")
+
+
+NAMES = ["a.ttf", "B.TTF", "c.otf", "d.ttc", "e.PNG", "f.jpeg", "g.jpg.txt", "h", ".png", "i.woff", "j.JpG"]
+NAMES_SQL = ", ".join(f"('{n}')" for n in NAMES)
+
+
+@query(f"""SELECT name, lower(name) LIKE '%.ttf' OR lower(name) LIKE '%.otf' AS is_font,
+lower(name) LIKE '%.jpg' OR lower(name) LIKE '%.jpeg' OR lower(name) LIKE '%.png' AS is_picture
+FROM (SELECT name FROM (VALUES {NAMES_SQL}) t(name) UNION ALL SELECT url FROM pages)""")
+def extension_filter(spark, sf):
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string").union(read(spark, sf, "pages").select("url"))
+    return names.select("name", text.has_suffix(F.col("name"), binary.FONTS).alias("is_font"), text.has_suffix(F.col("name"), binary.PICTURES).alias("is_picture"))
+
+
+@query(f"""WITH {LINES} SELECT word, CAST(len(cs) AS BIGINT) AS n_chars, array_to_string(list_sort(cs), '') AS chars
+FROM (SELECT word, list_distinct(string_split(word, '')) AS cs FROM (SELECT DISTINCT word FROM words))""")
+def word_charset(spark, sf):
+    rows = distinct_words(spark, sf)
+    chars = text.charset(F.col("word"))
+    return rows.select("word", F.size(chars).cast("bigint").alias("n_chars"), F.array_join(F.array_sort(chars), "").alias("chars"))
+
+
+@query("""SELECT lang, ch, count(*) AS n_docs FROM (SELECT lang, unnest(list_distinct(string_split(text, ''))) AS ch FROM documents)
+WHERE ch <> '' GROUP BY lang, ch""")
+def charset_by_lang(spark, sf):
+    rows = read(spark, sf, "documents").select("lang", F.explode(text.charset(F.col("text"))).alias("ch"))
+    return rows.groupBy("lang", "ch").agg(F.count("*").alias("n_docs"))
+
+
+SETS = charsets.registry()
+SMALL = {k: v for k, v in SETS.items() if len(v) <= 800}
+
+
+def literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SETS_SQL = ", ".join(f"({literal(k)}, {literal(v)})" for k, v in sorted(SMALL.items()))
+SET_ROWS = f"""sets AS (SELECT * FROM (VALUES {SETS_SQL}) t(name, chars)), rows AS (
+  SELECT name, unnest(range(len(a))) AS pos, unnest(a) AS ch FROM (SELECT name, string_split(chars, '') AS a FROM sets))"""
+
+
+@query(f"WITH {SET_ROWS} SELECT name, CAST(pos AS INTEGER) AS pos, ch FROM rows")
+def vocab_table(spark, sf):
+    return charsets.table(spark, SMALL)
+
+
+@query(f"WITH {SET_ROWS} SELECT name, count(*) AS n FROM rows GROUP BY name")
+def vocab_sizes(spark, sf):
+    return charsets.table(spark, SMALL).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SET_ROWS} SELECT name, ch, count(*) AS n FROM rows GROUP BY name, ch HAVING count(*) > 1")
+def vocab_duplicates(spark, sf):
+    return charsets.duplicates(charsets.table(spark, SMALL))
+
+
+LESS = sorted((n, less, more) for n, (less, more) in charsets.LATIN.items() if less)
+LESS_SQL = ", ".join(f"({literal(n)}, {literal(less)}, {literal(more)})" for n, less, more in LESS)
+
+
+@query(f"""SELECT name, array_to_string(list_filter(string_split({literal(SETS["english"])}, ''), lambda c: NOT contains(less, c)), '') || more AS chars
+FROM (VALUES {LESS_SQL}) t(name, less, more)""")
+def vocab_regex_derivation(spark, sf):
+    rows = spark.createDataFrame(LESS, "name string, less string, more string")
+    english = F.lit(SETS["english"])
+    return rows.select("name", F.concat(F.regexp_replace(english, F.concat(F.lit("["), "less", F.lit("]")), F.lit("")), "more").alias("chars"))
+
+
+@query(f"SELECT replace({literal(SETS['russian'])}, '₽', '') AS chars")
+def vocab_replace(spark, sf):
+    return spark.range(1).select(F.replace(F.lit(SETS["russian"]), F.lit("₽"), F.lit("")).alias("chars"))
+
+
+JOINED = SETS["english"] + "".join(SETS[n] for n in charsets.LATIN)
+
+
+@query(f"""SELECT ch, min(pos) AS pos FROM (SELECT unnest(range(len(a))) AS pos, unnest(a) AS ch FROM (SELECT string_split({literal(JOINED)}, '') AS a)) GROUP BY ch""")
+def vocab_multilingual_dedupe(spark, sf):
+    rows = spark.range(1).select(F.posexplode(F.split(F.lit(JOINED), "")).alias("pos", "ch")).where("ch <> ''")
+    return rows.groupBy("ch").agg(F.min("pos").cast("bigint").alias("pos"))
+
+
+@query(f"""WITH {SET_ROWS}, used AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS ch FROM documents)
+SELECT lang, name, count(*) AS n_covered FROM used JOIN rows USING (ch) GROUP BY lang, name""")
+def vocab_coverage_of_documents(spark, sf):
+    used = read(spark, sf, "documents").select("lang", F.explode(text.charset(F.col("text"))).alias("ch")).distinct()
+    # The registry's size is fixed.
+    return used.join(F.broadcast(charsets.table(spark, SMALL)), "ch").groupBy("lang", "name").agg(F.count("*").alias("n_covered"))
+
+
+INLINE = {"ascii.ttf": SETS["latin"] + " ", "french.ttf": SETS["french"] + " ", "letters.ttf": SETS["ascii_letters"] + " .,", "german.otf": SETS["german"] + " "}
+INLINE_SQL = ", ".join(f"({literal(k)}, {literal(v)})" for k, v in INLINE.items())
+FONTS_SQL = f"""{LINES}, fonts AS (SELECT DISTINCT font_path, unnest(string_split(chars, '')) AS ch FROM (VALUES {INLINE_SQL}) t(font_path, chars)),
+vocab AS (SELECT DISTINCT word FROM words),
+need AS (SELECT word, unnest(list_distinct(string_split(word, ''))) AS ch FROM vocab),
+sizes AS (SELECT word, count(*) AS n FROM need GROUP BY word),
+matched AS (SELECT word, font_path FROM (SELECT word, font_path, count(*) AS have FROM need JOIN fonts USING (ch) GROUP BY word, font_path) JOIN sizes USING (word) WHERE have = n),
+cand AS (SELECT word, list_sort(list(font_path)) AS fs FROM matched GROUP BY word)"""
+
+
+def _inline(spark):
+    rows = spark.createDataFrame(sorted(INLINE.items()), "font_path string, chars string")
+    return rows.select("font_path", F.explode(text.charset(F.col("chars"))).alias("ch"))
+
+
+def _candidates(spark, sf):
+    rows = distinct_words(spark, sf)
+    return fonts.candidates(rows, _inline(spark))
+
+
+@query(f"WITH {FONTS_SQL} SELECT word, font_path FROM matched")
+def font_match_division(spark, sf):
+    return _candidates(spark, sf).select("word", F.explode("candidates").alias("font_path"))
+
+
+@query(f"WITH {FONTS_SQL} SELECT word, coalesce(array_to_string(fs, ','), '') AS candidates, CAST(coalesce(len(fs), 0) AS INTEGER) AS n FROM vocab LEFT JOIN cand USING (word)")
+def font_candidates(spark, sf):
+    return _candidates(spark, sf).select("word", F.array_join("candidates", ",").alias("candidates"), F.size("candidates").alias("n"))
+
+
+@query(f"""WITH {FONTS_SQL} SELECT i, word, fs[CAST(floor({draws.sql(SEED, "font", "i")} * len(fs)) AS BIGINT) + 1] AS font_path FROM words LEFT JOIN cand USING (word)""")
+def font_choice(spark, sf):
+    own = kept(words(spark, sf), "words")
+    return fonts.chosen(own, fonts.candidates(own, _inline(spark)), SEED, "i").select("i", "word", "font_path")
+
+
+@query(f"WITH {FONTS_SQL} SELECT word FROM vocab WHERE word NOT IN (SELECT word FROM matched)")
+def font_unsupported(spark, sf):
+    return _candidates(spark, sf).where("size(candidates) = 0").select("word")
+
+
+KEY = "o_orderkey"
+
+
+@query(f"SELECT {KEY}, {draws.sql(SEED, 'bold', KEY)} < 0.5 AS bold, {draws.sql(SEED, 'never', KEY)} < 0.0 AS never, {draws.sql(SEED, 'always', KEY)} < 1.0 AS always FROM orders")
+def draw_bernoulli(spark, sf):
+    return read(spark, sf, "orders").select(KEY, *(draws.bernoulli(p, SEED, n, KEY).alias(n) for n, p in (("bold", 0.5), ("never", 0.0), ("always", 1.0))))
+
+
+@query(f"SELECT {KEY}, round(-2.0 + 4.0 * {draws.sql(SEED, 'angle', KEY)}, 9) AS angle, round({draws.sql(SEED, 'u', KEY)}, 9) AS u FROM orders")
+def draw_uniform(spark, sf):
+    return read(spark, sf, "orders").select(KEY, F.round(draws.between(-2, 2, SEED, "angle", KEY), 9).alias("angle"), F.round(draws.uniform(SEED, "u", KEY), 9).alias("u"))
+
+
+@query(f"SELECT {KEY}, CAST(18 + floor({draws.sql(SEED, 'size', KEY)} * 18) AS INTEGER) AS size FROM orders")
+def draw_randint(spark, sf):
+    return read(spark, sf, "orders").select(KEY, draws.integer(18, 35, SEED, "size", KEY).alias("size"))
+
+
+@query(f"SELECT {KEY}, (['a', 'b', 'c', 'd', 'e'])[CAST(floor({draws.sql(SEED, 'pick', KEY)} * 5) AS BIGINT) + 1] AS pick FROM orders")
+def draw_choice(spark, sf):
+    return read(spark, sf, "orders").select(KEY, draws.choice(F.array(*map(F.lit, "abcde")), SEED, "pick", KEY).alias("pick"))
+
+
+@query(f"""SELECT {KEY}, o.dx, o.dy FROM orders, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy)
+WHERE (o.dx = 0 AND o.dy = 0) OR {draws.sql(SEED, 'bold', KEY)} < 0.5""")
+def bold_offsets(spark, sf):
+    offsets = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (1, 0), (0, 1), (1, 1))))
+    drawn = F.when(draws.bernoulli(0.5, SEED, "bold", KEY), offsets).otherwise(F.slice(offsets, 1, 1))
+    return read(spark, sf, "orders").select(KEY, F.explode(drawn).alias("o")).select(KEY, "o.dx", "o.dy")
+
+
+ADVANCES = [(c, 4 + ord(c) % 7) for c in charsets.string.ascii_letters] + [(" ", 3)]
+ADVANCES_SQL = ", ".join(f"('{c}', {w})" for c, w in ADVANCES)
+
+
+@query(f"""WITH {LINES}, adv AS (SELECT * FROM (VALUES {ADVANCES_SQL}) t(ch, w)), s AS (
+SELECT i, CAST(18 + floor({draws.sql(SEED, "size", "i")} * 18) AS INTEGER) AS size, unnest(string_split(word, '')) AS ch FROM words)
+SELECT i, CAST(floor(sum(coalesce(w, 5)) * any_value(size) / 10.0) AS BIGINT) + 8 AS width, any_value(size) + 8 AS height FROM s LEFT JOIN adv USING (ch) GROUP BY i""")
+def text_canvas_size(spark, sf):
+    size = draws.integer(18, 35, SEED, "size", "i")
+    known = F.create_map(*(x for c, w in ADVANCES for x in (F.lit(c), F.lit(w))))
+    total = F.aggregate(F.split("word", ""), F.lit(0), lambda a, c: a + F.when(c == "", 0).otherwise(F.coalesce(F.try_element_at(known, c), F.lit(5))))
+    return words(spark, sf).select("i", (F.floor(total * size / F.lit(10.0)) + 8).alias("width"), (size + 8).alias("height"))
+
+
+def _corner(s: str, c: str, sx: int, sy: int) -> tuple[str, str]:
+    return f"({c} * w / 2.0 * {sx} + {s} * h / 2.0 * {sy})", f"(-{s} * w / 2.0 * {sx} + {c} * h / 2.0 * {sy})"
+
+
+CORNERS = [_corner("s", "c", x, y) for x in (-1, 1) for y in (-1, 1)]
+WIDE = f"CAST(ceil(greatest({', '.join(x for x, _ in CORNERS)}) + w / 2.0) - floor(least({', '.join(x for x, _ in CORNERS)}) + w / 2.0) AS BIGINT)"
+TALL = f"CAST(ceil(greatest({', '.join(y for _, y in CORNERS)}) + h / 2.0) - floor(least({', '.join(y for _, y in CORNERS)}) + h / 2.0) AS BIGINT)"
+
+
+@query(f"""SELECT {KEY}, {WIDE} AS width, {TALL} AS height FROM (SELECT {KEY}, round(cos(radians(-angle)), 15) AS c, round(sin(radians(-angle)), 15) AS s, w, h FROM (
+SELECT {KEY}, -30.0 + 60.0 * {draws.sql(SEED, 'angle', KEY)} AS angle, 20 + floor({draws.sql(SEED, 'w', KEY)} * 181) AS w, 10 + floor({draws.sql(SEED, 'h', KEY)} * 41) AS h FROM orders))""")
+def rotated_canvas_size(spark, sf):
+    rows = read(spark, sf, "orders").select(KEY, draws.between(-30, 30, SEED, "angle", KEY).alias("angle"), draws.integer(20, 200, SEED, "w", KEY).alias("w"), draws.integer(10, 50, SEED, "h", KEY).alias("h"))
+    rows = rows.select(KEY, "w", "h", F.round(F.cos(F.radians(-F.col("angle"))), 15).alias("c"), F.round(F.sin(F.radians(-F.col("angle"))), 15).alias("s"))
+    return rows.select(KEY, F.expr(WIDE).alias("width"), F.expr(TALL).alias("height"))
+
+
+MARGIN = 2
+SHIFTS = [f"d{k}" for k in range(8)]
+
+
+@query(f"SELECT {KEY}, " + ", ".join(f"CAST(-{MARGIN} + floor({draws.sql(SEED, f'corner{k}', KEY)} * {2 * MARGIN + 1}) AS INTEGER) AS d{k}" for k in range(8)) + " FROM orders")
+def perspective_corners(spark, sf):
+    return read(spark, sf, "orders").select(KEY, *(draws.integer(-MARGIN, MARGIN, SEED, f"corner{k}", KEY).alias(f"d{k}") for k in range(8)))
+
+
+@query()
+def perspective_coeffs(spark, sf):
+    """The eight numbers of each order's warp of a 100 by 40 image; the residual of its corners is tested to be zero."""
+
+    @F.pandas_udf("array<double>")
+    def solve(d: pd.Series) -> pd.Series:
+        from glyphloom.raster.image import find_coefficients
+
+        corners = [(0, 0), (100, 0), (100, 40), (0, 40)]
+        return d.map(lambda x: find_coefficients([(a + x[2 * k], b + x[2 * k + 1]) for k, (a, b) in enumerate(corners)], corners).tolist())
+
+    return perspective_corners(spark, sf).select(KEY, solve(F.array(*SHIFTS)).alias("c")).select(KEY, *(F.col("c")[k].alias(f"c{k}") for k in range(8)))
+
+
+PIXELS_SQL = """px AS (SELECT vec_id, unnest(range(len(embedding))) AS pos,
+unnest(list_transform(embedding, lambda v: CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5) * 60))) AS INTEGER))) AS a FROM embeddings)"""
+
+
+def _pixels(spark, sf):
+    alpha = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.5) * 60))).cast("int")
+    return read(spark, sf, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", alpha)).alias("pos", "a"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT vec_id, round(count(*) FILTER (a > 20) / CAST(count(*) AS DOUBLE), 9) AS share FROM px GROUP BY vec_id")
+def visible_ratio(spark, sf):
+    return _pixels(spark, sf).groupBy("vec_id").agg(F.round(visibility.ratio(F.col("a")), 9).alias("share"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT vec_id, count(*) FILTER (a > 35) / CAST(count(*) AS DOUBLE) >= 0.1 AS visible FROM px GROUP BY vec_id")
+def visibility_predicate(spark, sf):
+    return _pixels(spark, sf).groupBy("vec_id").agg(visibility.visible(visibility.ratio(F.col("a"), 35), 0.1).alias("visible"))
+
+
+@query(f"""SELECT {KEY}, coalesce(min(attempt) FILTER (u < 0.4), -1) AS attempt FROM (SELECT {KEY}, attempt, {draws.sql(SEED, 'visible', KEY, 'attempt')} AS u
+FROM orders, range(5) r(attempt)) GROUP BY {KEY}""")
+def retry_first_visible(spark, sf):
+    rows = read(spark, sf, "orders").select(KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("attempt"))
+    seen = draws.uniform(SEED, "visible", KEY, "attempt") < 0.4
+    return rows.groupBy(KEY).agg(F.coalesce(F.min(F.when(seen, F.col("attempt"))), F.lit(-1).cast("bigint")).alias("attempt"))
+
+
+PICTURES = [(0, 640, 480), (1, 100, 30), (2, 90, 90), (3, 60, 20)]
+PICTURES_SQL = ", ".join(map(str, PICTURES))
+TASKS_SQL = f"SELECT {KEY} AS key, CAST(20 + floor({draws.sql(SEED, 'w', KEY)} * 700) AS INTEGER) AS w, CAST(10 + floor({draws.sql(SEED, 'h', KEY)} * 41) AS INTEGER) AS h FROM orders"
+
+
+@query(f"""WITH tasks AS ({TASKS_SQL}), bg AS (SELECT * FROM (VALUES {PICTURES_SQL}) t(bg_idx, width, height)),
+tries AS (SELECT *, CAST(floor({draws.sql(SEED, 'bg', 'key', 'attempt')} * {len(PICTURES)}) AS INTEGER) AS bg_idx FROM tasks, range(10) r(attempt)),
+fits AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY attempt) AS rn FROM tries JOIN bg USING (bg_idx) WHERE w <= width AND h <= height)
+SELECT t.key, t.w, t.h, coalesce(f.bg_idx, -1) AS bg_idx, coalesce(CAST(floor({draws.sql(SEED, 'x', 'f.key', 'f.attempt')} * (f.width - f.w + 1)) AS INTEGER), -1) AS x,
+coalesce(CAST(floor({draws.sql(SEED, 'y', 'f.key', 'f.attempt')} * (f.height - f.h + 1)) AS INTEGER), -1) AS y
+FROM tasks t LEFT JOIN (SELECT * FROM fits WHERE rn = 1) f ON t.key = f.key""")
+def background_crop_plan(spark, sf):
+    tasks = read(spark, sf, "orders").select(F.col(KEY).alias("key"), draws.integer(20, 719, SEED, "w", KEY).alias("w"), draws.integer(10, 50, SEED, "h", KEY).alias("h"))
+    made = backgrounds.crop_plan(tasks, spark.createDataFrame(PICTURES, "bg_idx int, width int, height int"), SEED)
+    return made.select("key", "w", "h", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("bg_idx", "x", "y")))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT vec_id, round(avg(a), 9) AS mean FROM px GROUP BY vec_id")
+def mean_colour(spark, sf):
+    return _pixels(spark, sf).groupBy("vec_id").agg(F.round(F.avg("a"), 9).alias("mean"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT vec_id, CAST(floor(avg(a) * (0.3 + 0.3 * {draws.sql(SEED, 'dark', 'vec_id')})) AS INTEGER) AS colour FROM px GROUP BY vec_id")
+def matched_colour(spark, sf):
+    own = _pixels(spark, sf).withColumn("f", F.lit(0.3) + F.lit(0.3) * draws.uniform(SEED, "dark", "vec_id"))
+    return own.groupBy("vec_id", "f").agg(F.avg("a").alias("mean")).select("vec_id", F.floor(F.col("mean") * F.col("f")).cast("int").alias("colour"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT vec_id, pos, CAST(floor((40 * a + 200 * (255 - a) + 127) / 255.0) AS INTEGER) AS value FROM px")
+def alpha_composite_pixels(spark, sf):
+    return _pixels(spark, sf).select("vec_id", F.col("pos").cast("bigint").alias("pos"), visibility.over(F.lit(40), F.col("a"), F.lit(200)).alias("value"))
+
+
+RESULTS_SQL = f"{RANKED}, results AS (SELECT split, idx, word, printf('%05d.png', idx) AS filename, {draws.sql(SEED, 'ok', 'split', 'idx')} < 0.9 AS success FROM manifest)"
+
+
+def _results(spark, sf):
+    own = kept(words(spark, sf), "words")
+    rows = splitter.manifest(splitter.split_words(own, N, P, SEED), OUT)
+    return rows.withColumn("success", draws.bernoulli(0.9, SEED, "ok", "split", "idx"))
+
+
+@query(f"""WITH {RESULTS_SQL} SELECT split, completed, succeeded FROM (SELECT split, idx, count(*) OVER w AS completed, count(*) FILTER (success) OVER w AS succeeded,
+count(*) OVER (PARTITION BY split) AS n FROM results WINDOW w AS (PARTITION BY split ORDER BY idx)) WHERE completed % 50 = 0 OR completed = n""")
+def progress_running(spark, sf):
+    return sinks.progress(_results(spark, sf))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT split, count(*) FILTER (success) AS n_success, count(*) AS n_total FROM results GROUP BY split")
+def run_summary(spark, sf):
+    return sinks.summary(_results(spark, sf))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT split, idx, filename, word AS text FROM results WHERE success")
+def label_manifest(spark, sf):
+    return sinks.labels(_results(spark, sf))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT split, count(*) FILTER (success) AS n_labels, min(filename) FILTER (success) AS first_name FROM results GROUP BY split")
+def label_map_sizes(spark, sf):
+    maps = sinks.label_map(_results(spark, sf))
+    return maps.select("split", F.size("labels").cast("bigint").alias("n_labels"), F.array_min(F.map_keys("labels")).alias("first_name"))
+
+
+@query()
+def font_charsets(spark, sf):
+    """Characters of the real fonts of a folder."""
+    support = binary.font_support(binary.fonts(spark, FONT_DIR))
+    return support.select(F.regexp_extract("font_path", "[^/]+$", 0).alias("font"), F.size("chars").alias("n_chars"), "error")
+
+
+def _config(n: int) -> GenerationConfig:
+    return GenerationConfig(wordlist_path="", font_dir=FONT_DIR, output_dir=OUT, num_images=n, seed=SEED)
+
+
+@query()
+def font_match_real(spark, sf):
+    """Every distinct line and how many of the real fonts cover it."""
+    rows = distinct_words(spark, sf)
+    chars = binary.font_chars(kept(binary.font_support(binary.fonts(spark, FONT_DIR)), "support"))
+    return fonts.candidates(rows, chars).select("word", F.size("candidates").alias("n_fonts"))
+
+
+def _short_words(spark, sf):
+    """A word list of single words: the distinct names and classes of the small tables."""
+    columns = [("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("part", "p_brand"), ("orders", "o_orderpriority"), ("events", "event_type")]
+    every = [read(spark, sf, t).select(F.col(c).alias("word")).distinct() for t, c in columns]
+    rows = every[0]
+    for more in every[1:]:
+        rows = rows.union(more)
+    return kept(with_index(rows.distinct(), [F.col("word")]), "words")
+
+
+def _rendered(spark, sf, n):
+    config = _config(n)
+    rows = kept(splitter.split_words(_short_words(spark, sf), n, config.val_percent, SEED), "rows")
+    own = kept(binary.fonts(spark, FONT_DIR), "fonts")
+    return generate.render(generate.plan(rows, binary.font_support(own), config), own, config)
+
+
+@query()
+def render_images(spark, sf):
+    """Images of 300 rows of words and of the words that a split lacks: sizes and digests of the PNGs."""
+    made = _rendered(spark, sf, 300)
+    return made.select("split", "idx", "filename", "word", "success", "error", "width", "height", F.sha2("png", 256).alias("png_sha256"))
+
+
+@query()
+def generate_dataset(spark, sf):
+    """A whole run with files in the shared folder: the summary by split."""
+    out = f"{shared_dir(spark)}/dataset"
+    made = kept(_rendered(spark, sf, 100), "results")
+    sinks.write_images(made, out)
+    sinks.write_labels(made, out)
+    return sinks.summary(made)

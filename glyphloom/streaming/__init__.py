@@ -1 +1 @@
-
+"""Streaming runs."""
