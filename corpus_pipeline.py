@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import language_id, mixing, op4, secrets_scan, sentencepiece_codec, simhash
-from glyphloom.llm.common import read_table, scratch_path
+from glyphloom.llm.common import fresh, read_table, scratch_path
 
 #: Cosine with the nearest language below which a document is rejected.
 LEAST_LIKENESS = 0.02
@@ -24,8 +24,9 @@ LEAST_LIKENESS = 0.02
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that have no letter or whose best language is no likelier than chance."""
     model = language_id.fit(docs)
-    found = docs.withColumn("_language", language_id.predicted(F.col("text"), model))
-    kept = found.where((F.col("_language.lang_pred") != language_id.UNKNOWN) & (F.col("_language.score") >= LEAST_LIKENESS))
+    name = fresh(docs, "_language")
+    found = docs.withColumn(name, language_id.predicted(F.col("text"), model))
+    kept = found.where((F.col(f"{name}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_LIKENESS))
     return kept.select(*docs.columns)
 
 

@@ -52,6 +52,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text is divisible by HOLD_OUT_MOD; rows without an id are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % HOLD_OUT_MOD == 0, F.lit(True))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import hash_fraction, held_out, strings
+from glyphloom.llm.common import fresh, hash_fraction, held_out, strings
 
 DIM = 1024
 N = 3
@@ -200,4 +200,5 @@ def predicted(text: Column, model: LanguageModel) -> Column:
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score``."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*rest, predicted(F.col(text), model).alias("_p")).select(*rest, "_p.lang_pred", "_p.score")
+    p = fresh(docs, "_p")
+    return docs.select(*rest, predicted(F.col(text), model).alias(p)).select(*rest, f"{p}.lang_pred", f"{p}.score")

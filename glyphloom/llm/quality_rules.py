@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.llm.common import fresh
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW = 5
 
@@ -95,20 +97,21 @@ def repeated_words(hashes: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the MEASURES to the rows of ``docs``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in docs.columns if c not in MEASURES and c not in ("_w", "_l", "_h")]
-    step = docs.select(*(F.col(f"`{c}`") for c in kept), t.alias("_t"))
-    step = step.withColumn("_w", words_of(F.col("_t")))
-    step = step.withColumn("_l", F.filter(F.split(F.col("_t"), "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
-    step = step.withColumn("_h", window_hashes(F.col("_w")))
+    kept = [c for c in docs.columns if c not in MEASURES]
+    w, lines, h, whole = (fresh(docs, n) for n in ("_words", "_lines", "_hashes", "_whole"))
+    step = docs.select(*(F.col(f"`{c}`") for c in kept), t.alias(whole))
+    step = step.withColumn(w, words_of(F.col(whole)))
+    step = step.withColumn(lines, F.filter(F.split(F.col(whole), "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
+    step = step.withColumn(h, window_hashes(F.col(w)))
     return step.select(
         *(F.col(f"`{c}`") for c in kept),
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_h")).alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.regexp_count("_t", F.lit("\\p{L}")).cast("long").alias("n_letters"),
+        F.size(w).cast("long").alias("n_words"),
+        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col(h)).alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.regexp_count(whole, F.lit("\\p{L}")).cast("long").alias("n_letters"),
     )
 
 

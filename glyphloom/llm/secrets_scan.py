@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import strings
+from glyphloom.llm.common import fresh, strings
 from glyphloom.llm.grammar import Automaton, infer
 
 KINDS = ("assign", "access", "hex", "grammar")
@@ -170,14 +170,15 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, detector: Detector | None = None, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with secrets masked in ``text``; ``length``, where there is such a column, follows the text."""
-    found = docs.withColumn("_scan", scanned(F.col(text), detector or default_detector()))
-    new = F.coalesce(F.col("_scan.masked"), F.col(text))
+    scan = fresh(docs, "_scan")
+    found = docs.withColumn(scan, scanned(F.col(text), detector or default_detector()))
+    new = F.coalesce(F.col(f"{scan}.masked"), F.col(text))
     columns = []
     for c in docs.columns:
         if c == text:
             columns.append(new.alias(c))
         elif c == length:
-            kept = F.when(F.col("_scan.masked").isNull(), F.col(c)).otherwise(F.char_length("_scan.masked"))
+            kept = F.when(F.col(f"{scan}.masked").isNull(), F.col(c)).otherwise(F.char_length(f"{scan}.masked"))
             columns.append(kept.cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))

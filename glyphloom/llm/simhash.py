@@ -198,5 +198,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius
     """The documents that name their component, one of each: repeated rows of one id count as copies."""
     found = near_duplicates(docs.select(id_col, text), id_col, text, radius)
     kept = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
     return out if kept.where("n > 1").isEmpty() else out.dropDuplicates([id_col])
