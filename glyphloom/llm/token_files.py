@@ -11,7 +11,7 @@ A task writes under a name of its own and renames when done, so a repeated task
 read of the ids: it is the table of parts with their bases.
 
 Defined results: a null text has only the end id; an empty table gives no parts; documents of the same doc_id follow each
-other in the order of their texts' hashes; equal rows lie side by side. Long texts are encoded unit by unit.
+other in the order of their texts' hashes; equal rows lie side by side. Long texts are encoded piece by piece.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.unit_cache import UnitCache, by_size
+from glyphloom.llm.unit_cache import GENERATION, LONGEST, by_size
 
 MAGIC = b"TOKIDX01"
 #: Magic, bytes of an id, documents, ids.
@@ -38,15 +39,27 @@ END_ID = 0
 BATCH_CHARS = 1 << 21
 
 # What the byte-level pre-tokeniser takes for white space.
-WHITE = "\t-\r \x85\xa0  -     　"
-#: Letters and digits by any version of Unicode, and marks that may end a word.
-PLAIN, MARKS = "0-9A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
-#: The pre-tokeniser never joins white space with what isn't, but for one space before it; and of a run of white space
-#: before a word it leaves the last character. Nor does it join letters with the marks after them. So its own splits lie
-#: within these units.
-UNIT = re.compile(f" ?[{PLAIN}]++(?=[{WHITE}{MARKS}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: A unit that the pre-tokeniser leaves as it is.
-ONE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters by any version of Unicode. A word of such letters alone stays whole in the pre-tokeniser, with the space before
+#: it; marks after it that end the piece become one token of their own; so does a line feed between what is no white space.
+PLAIN, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-/:-@\\[-`{-~"
+WORD = re.compile(f"[{PLAIN}]+")
+MARKED = re.compile(f"([{PLAIN}]+)([{MARKS}]+)")
+BROKEN = re.compile(f"([^{WHITE}]+)\n([^{WHITE}]+)")
+#: A piece with white space at an end, or none at all: its text is then not cut before every space.
+ODD = re.compile(f"[{WHITE}].*|(?:.*[{WHITE}])?", re.DOTALL)
+#: Where a text may be cut in any case: before a space between two characters that are no white space.
+CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
+RUN_CHARS = 1 << 16
+
+
+def runs(text: str) -> list[str]:
+    """The text cut into runs of about RUN_CHARS characters, where no token can cross."""
+    out, a = [], 0
+    while len(text) - a > RUN_CHARS and (m := CUT.search(text, a + RUN_CHARS)):
+        out.append(text[a : m.start()])
+        a = m.start()
+    return [*out, text[a:]]
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,8 +69,54 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+LETTERS = byte_letters()
+
+
+class OddPiece(Exception):
+    pass
+
+
+class Pieces(dict):
+    """The ids, as bytes, of what stands between two spaces, with the first of them or without. A piece is encoded when
+    first asked for.
+
+    When the young generation is full it becomes the old one, from which pieces move back as they are used.
+    """
+
+    def __init__(self, encoder: ByteLevelEncoder, space: str) -> None:
+        super().__init__()
+        self.encoder, self.space = encoder, space
+        self.letter = LETTERS[32] if space else ""
+        self.old: dict[str, bytes] = {}
+        self.kind = "H" if encoder.dtype == "<u2" else "I"
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            if piece.isascii() and piece.isalpha():
+                found = array(self.kind, [t.id for t in self.encoder.tokenize(self.letter + piece)]).tobytes()
+            elif WORD.fullmatch(piece):
+                found = array(self.kind, [t.id for t in self.encoder.tokenize(self.letter + piece.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+            elif m := MARKED.fullmatch(piece):
+                found = self[m[1]] + self.encoder.marks(m[2])
+            elif m := BROKEN.fullmatch(piece):
+                found = self[m[1]] + self.encoder.marks("\n") + self.encoder.bare[m[2]]
+            elif ODD.fullmatch(piece):
+                raise OddPiece
+            else:
+                found = self.encoder.encode_whole(self.space + piece)
+        if len(piece) <= LONGEST:
+            self[piece] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > GENERATION:
+            self.old = dict(self)
+            self.clear()
+
+
 class ByteLevelEncoder:
-    """Encodes texts with a tokenizers file whose pre-tokeniser is byte-level, distinct units once."""
+    """Encodes texts with a tokenizers file whose pre-tokeniser is byte-level, distinct pieces once."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -68,26 +127,30 @@ class ByteLevelEncoder:
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
-        self.by_units = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
+        self.by_pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.bpe, self.letters = self.tokenizer.model, byte_letters()
-        self.cache = UnitCache(self._encode_units, self.dtype)
-
-    def _encode_units(self, units: list[str]) -> list[list[int]]:
-        """The same for units: those that the pre-tokeniser leaves as they are go to the library's model directly."""
-        one, letters, tokenize = ONE.fullmatch, self.letters, self.bpe.tokenize
-        rest = [u for u in units if not one(u)]
-        others = iter(self._encode(rest))
-        return [[t.id for t in tokenize(u.encode().decode("latin-1").translate(letters))] if one(u) else next(others) for u in units]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.pieces, self.bare = Pieces(self, " "), Pieces(self, "")
+        self.marks = lru_cache(maxsize=1 << 14)(self.encode_whole)
 
-    def _encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def encode_whole(self, text: str) -> bytes:
+        """The ids of a text in one call of the library."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as bytes of ``dtype``."""
-        if self.by_units:
-            return self.cache.ids([UNIT.findall(t) for t in texts])
-        return [np.array(x, dtype=self.dtype).tobytes() for x in self._encode(texts)]
+        if not self.by_pieces:
+            return [self.encode_whole(t) for t in texts]
+        out = []
+        for t in texts:
+            first, *pieces = t.split(" ")
+            try:
+                out.append(b"".join((self.bare[first] if t else b"", *map(self.pieces.__getitem__, pieces))))
+            except OddPiece:
+                out.append(b"".join([self.encode_whole(r) for r in runs(t)]))
+            self.pieces.turn()
+            self.bare.turn()
+        return out
 
 
 @lru_cache(maxsize=4)
