@@ -125,7 +125,7 @@ class Landmarks:
         self.table = np.zeros((len(self.codes) + 1, len(self.words)))
         self.table[place, word] = weight
         #: For each code the largest weight that a landmark has there.
-        self.largest = self.table.max(axis=1)
+        self.largest = self.table.max(axis=1, initial=0.0)
         self.slot = np.full(LETTERS**3, len(self.codes), dtype=np.int32)
         self.slot[self.codes] = np.arange(len(self.codes))
 
@@ -205,11 +205,13 @@ class ToxicityModel:
         return self._matcher
 
     def scores(self, texts: list[str]) -> list[float]:
+        if not self.landmarks:
+            return [0.0] * len(texts)
         out = []
         for vector in self.matcher().vectors(texts):
             value = self.offset + (float(vector @ self.weights) if vector is not None else 0.0)
             x = self.slope * value + self.shift
-            out.append(round(1 / (1 + math.exp(-max(-50.0, min(50.0, x)))), 9) if self.landmarks else 0.0)
+            out.append(round(1 / (1 + math.exp(-max(-50.0, min(50.0, x)))), 9))
         return out
 
     def __getstate__(self) -> dict:
