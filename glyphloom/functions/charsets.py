@@ -45,6 +45,7 @@ LATIN = {
     "welsh": ("KkQqVvXxZz", "âêîôŵŷÂÊÎÔŴŶ"), "yoruba": ("CcQqVvXxZz", "ẹọṣẸỌṢ₦"), "zulu": ("", ""),
 }
 
+#: The letters that all Cyrillic alphabets here share.
 GENERIC_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщьюяАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЬЮЯ"
 #: Cyrillic alphabets: whether they have the Russian letters and signs, and what they add. The languages' alphabets.
 CYRILLIC = {
