@@ -154,7 +154,7 @@ def weight_of(domain: str) -> Column:
     return (q if quality else 1 - q) * (t if toxic else 1 - t)
 
 
-def solve(cells: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, rounds: int = 60, tolerance: float = 1e-5) -> DataFrame:
+def solve(cells: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, rounds: int = 60, tolerance: float = 1e-4) -> DataFrame:
     """``q``, ``t`` and ``rate`` of the table of memberships (``q``, ``t``, ``n``: tokens, of stored rows).
 
     ``weights`` are the domains' shares of ``budget`` tokens (as many as there are, if not given).
