@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import language_id, mixing, op4, secrets_scan, sentencepiece_codec, simhash
-from glyphloom.llm.common import fresh, read_table, scratch_path
+from glyphloom.llm.common import fresh, read_table, scratch_path, small_batches
 
 #: Cosine with the nearest language below which a document is rejected.
 LEAST_LIKENESS = 0.02
@@ -23,6 +23,7 @@ LEAST_LIKENESS = 0.02
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that have no letter or whose best language is no likelier than chance."""
+    small_batches(spark)
     model = language_id.fit(docs)
     name = fresh(docs, "_language")
     found = docs.withColumn(name, language_id.predicted(F.col("text"), model))
@@ -31,10 +32,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secrets_scan.redact(docs)
 
 
@@ -44,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``lang``, ``source``, the ids and their number."""
+    small_batches(spark)
     ids = sentencepiece_codec.encoded(F.col("text"), op4.model_path())
     return docs.select("doc_id", "lang", "source", ids.alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
 

@@ -52,6 +52,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Python functions get and give so many rows at a time, so that batches of long texts stay small.
+
+    Workers live on from stage to stage with what they have loaded; batches come on top of that.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

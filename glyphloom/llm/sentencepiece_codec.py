@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -198,7 +199,7 @@ class Codec:
         head = [parts[0]] if parts[0] else []
         return head + [MARKER + p for p in parts[1:]]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list[np.ndarray] = []
         for run in by_size((t or "" for t in texts), BATCH_CHARS):
@@ -263,7 +264,7 @@ def encoded(text: Column, path: str, threads: int = 2) -> Column:
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
         c = codec(path, threads)
-        ids = c.encode(list(strings(column)))
+        ids = c.encode(strings(column))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
         flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))

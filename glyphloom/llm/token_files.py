@@ -30,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.unit_cache import GENERATION, LONGEST, by_size
+from glyphloom.llm.unit_cache import LONGEST, by_size
 
 MAGIC = b"TOKIDX01"
 #: Magic, bytes of an id, documents, ids.
 HEADER = "<8sIQQ"
 END_ID = 0
 BATCH_CHARS = 1 << 21
+#: Pieces in a generation of the cache.
+GENERATION = 400_000
 
 # What the byte-level pre-tokeniser takes for white space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Units in a generation, longest unit that is kept, and characters of units encoded in one call.
-GENERATION = 400_000
+GENERATION = 120_000
 LONGEST = 64
 CALL_CHARS = 1 << 20
 
