@@ -185,8 +185,12 @@ def solve(cells: DataFrame, weights: dict[str, float] | None = None, budget: flo
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
-    """The bounded table of memberships: ``q``, ``t`` and ``n``, the tokens of all rows that have them."""
-    return materialise(rows.groupBy("q", "t").agg(F.sum("_n").cast("double").alias("n")).coalesce(1), "mixing-cells")
+    """The bounded table of memberships: ``q``, ``t`` and ``n``, the tokens of all rows that have them.
+
+    It is summed up by as many tasks as the partial sums need; only the result, of a bounded size, becomes one file.
+    """
+    summed = materialise(rows.groupBy("q", "t").agg(F.sum("_n").cast("double").alias("n")), "mixing-sums")
+    return materialise(summed.coalesce(1), "mixing-cells")
 
 
 def rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
