@@ -213,7 +213,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     names = docs.columns
     rows = measured(docs.select(*(F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(names))), f"_c{names.index(text)}")
     own = [F.col(f"_c{k}") for k in range(len(names))]
-    rows = rows.select(*own, "_n", *memberships(model))
+    rows = materialise(rows.select(*own, "_n", *memberships(model)), "mixing-rows")
     rates = solve(cells_of(rows.select("_n", "q", "t")), weights)
     draw = hash_fraction(F.col(f"_c{names.index(id_col)}"), F.lit("mix"))
     times = F.floor(F.col("rate") + draw).cast("int")
