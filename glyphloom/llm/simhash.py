@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import materialise, sorted_groups, strings
+from glyphloom.llm.common import fresh, materialise, sorted_groups, strings
 from glyphloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -185,18 +185,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def components_of(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of a stored table of ``doc_id`` and ``fp``."""
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(fps.select("fp"), radius))
-    member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = materialise(member, "members")
+    member = rooted(rows, radius)
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(names, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def rooted(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp``, its smallest id (``least``) and ``root``, equal within a component, of a stored table of ``doc_id`` and ``fp``."""
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(fps.select("fp"), radius))
+    member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return materialise(member, "members")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents that name their component, one of each: repeated rows of one id count as copies."""
-    found = near_duplicates(docs.select(id_col, text), id_col, text, radius)
-    kept = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates([id_col])
+    """Of each component the row with the smallest id."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), fingerprinted(F.col(text)).alias("fp"))
+    rows = materialise(rows, "fingerprints")
+    return kept_rows(docs, rows.join(rooted(rows, radius), "fp").select("doc_id", "h", "root"), id_col, text)
+
+
+def kept_rows(docs: DataFrame, members: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each root of ``members`` (``doc_id``, ``h``: the text's xxhash64, ``root``).
+
+    It is the row with the smallest id, rows without an id last; of rows with one id, that whose text has the smallest hash.
+    """
+    same = members.groupBy("root", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")).alias("k"))
+    kept = materialise(first.select("k.doc_id", "k.h", "k.n"), "kept")
+    h = fresh(docs, "_h")
+
+    def found(which: str) -> DataFrame:
+        named = kept.where(which).select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h"))
+        return docs.withColumn(h, F.xxhash64(text)).join(named, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col(h) == F.col("_kept_h")), "left_semi")
+
+    if kept.where("n > 1").isEmpty():
+        return found("true").drop(h)
+    return found("n = 1").union(found("n > 1").dropDuplicates([id_col, h])).drop(h)
