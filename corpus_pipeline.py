@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 language     documents whose language cannot be told (no letter, or next to no likeness with any) go
-near_dedup   of each group of SimHash near-duplicates the document with the smallest id stays
+near_dedup   of each group of near copies (5-word Jaccard similarity 0.8 or more) the document with the smallest id stays
 secrets      secrets are masked in the text; documents stay
 mixing       documents are repeated or left out by the rates that bring domains to their target weights
 encode       the last stage: every row's SentencePiece ids, with digests
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import language_id, mixing, op4, secrets_scan, sentencepiece_codec, simhash
+from glyphloom.llm import language_id, mixing, near_copies, op4, secrets_scan, sentencepiece_codec
 from glyphloom.llm.common import fresh, read_table, scratch_path, small_batches
 
 #: Cosine with the nearest language below which a document is rejected.
@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
