@@ -4,7 +4,9 @@ The patterns find assignments to names of secrets, access keys and long hexadeci
 credential characters of CANDIDATE_LEAST or more that has a digit and a letter is a candidate and is scored by each
 format's automaton (see ``grammar``): the logarithm of its likelihood over that of a uniform string of the same length.
 A candidate is a secret if for some format the score is at least LEAST_SCORE and no more than MARGIN below what all but the
-lowest hundredth of the format's training strings have. Candidates that lie within a span of the patterns add nothing.
+lowest hundredth of the format's training strings have. Where a whole run is none, the same is asked of its parts: from its
+start or behind any character that is neither letter nor digit, to its end or before any such character. Parts that pass and
+overlap make one span, so that no end of a credential stays. Candidates that lie within a span of the patterns add nothing.
 
 The labelled credentials are made by the public formats' rules from a fixed seed; others can be given.
 
@@ -20,14 +22,14 @@ import random
 import re
 import string
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.llm.common import fresh, strings
-from glyphloom.llm.grammar import Automaton, infer
+from glyphloom.llm.grammar import SMOOTH, Automaton, infer
 
 KINDS = ("assign", "access", "hex", "grammar")
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -87,6 +89,55 @@ class Detector:
         best = max(((m.log_likelihood(text) - chance - least, name) for name, m, least in self.formats), default=(-math.inf, ""))
         return best[1], best[0]
 
+    def parts(self, run: str) -> list[tuple[int, int]]:
+        """Start and end of the parts of a run that reach the score asked for, in order; those that overlap are one.
+
+        One pass for each format: of starts that have come to the same state with as much seen, only the best can win.
+        """
+        found = []
+        for least, (moves, unseen, ends) in zip((x[2] for x in self.formats), self.tables, strict=True):
+            young: list[list] = []
+            old: dict[tuple[int, int], tuple[float, int]] = {}
+            for at, c in enumerate(run):
+                sign = 1 if c.isdigit() else 2 if c.isalpha() else 0
+                if not at or not run[at - 1].isalnum():
+                    young.append([0, 0, 0.0, at])
+                moved: dict[tuple[int, int], tuple[float, int]] = {}
+                for (state, seen), (score, start) in old.items():
+                    nxt, gain = moves[state].get(c, (state, unseen[state]))
+                    key, new = (nxt, seen | sign), (score + gain, start)
+                    if key not in moved or new[0] > moved[key][0]:
+                        moved[key] = new
+                old = moved
+                for y in young:
+                    y[0], gain = moves[y[0]].get(c, (y[0], unseen[y[0]]))
+                    y[1] |= sign
+                    y[2] += gain
+                if young and at - young[0][3] + 1 >= CANDIDATE_LEAST:
+                    state, seen, score, start = young.pop(0)
+                    if (state, seen) not in old or score > old[state, seen][0]:
+                        old[state, seen] = (score, start)
+                if at + 1 == len(run) or not run[at + 1].isalnum():
+                    found += [(start, at + 1) for (state, seen), (score, start) in old.items() if seen == 3 and score + ends[state] >= least]
+        found.sort()
+        out: list[tuple[int, int]] = []
+        for a, b in found:
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+    @cached_property
+    def tables(self) -> list[tuple[list[dict[str, tuple[int, float]]], list[float], list[float]]]:
+        """Per format and state: the moves with what they add to a score, what an unseen symbol and what the end adds."""
+        out, chance = [], math.log(len(ALPHABET))
+        for _, m, _ in self.formats:
+            whole = [t + SMOOTH * (m.symbols + 1) for t in m.totals]
+            moves = [{c: (nxt, math.log((n + SMOOTH) / w) + chance) for c, (nxt, n) in x.items()} for x, w in zip(m.moves, whole, strict=True)]
+            out.append((moves, [math.log(SMOOTH / w) + chance for w in whole], [math.log((e + SMOOTH) / w) for e, w in zip(m.ends, whole, strict=True)]))
+        return out
+
 
 def fit(labelled: list[tuple[str, str]] | None = None, most: int = 2000, alpha: float = 0.05) -> Detector:
     """Automata of labelled credentials: at most ``most`` of each format, the first in the order of their hashes."""
@@ -132,6 +183,9 @@ def grammar_spans(text: str, detector: Detector, base: list[tuple[int, int, int]
             continue
         if detector.score(value.strip(".="))[1] >= 0:
             out.append((m.start(), 3, m.end()))
+        elif not value.isalnum():
+            found = ((m.start() + a, m.start() + b) for a, b in detector.parts(value))
+            out += [(a, 3, b) for a, b in found if not any(x <= a and b <= y for x, _, y in base)]
     return out
 
 
