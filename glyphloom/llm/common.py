@@ -49,7 +49,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    kept = spark.read.schema(schema).parquet(path)
+    kept.stored_at = [path]
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again; what was written from them stays."""
+    for df in tables:
+        for at in getattr(df, "stored_at", []):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

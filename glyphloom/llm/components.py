@@ -3,7 +3,7 @@
 Each round halves the distance of nodes from the smallest of their component or better; edges never outnumber those of
 the start. Neighbourhoods are only ever reduced to their minimum, before the shuffle where possible, so a hub is no
 group that one task must hold; a join on a hub is an ordinary join, which Spark splits where it is skewed. Every round
-is written to the shared folder.
+is written to the shared folder, and deleted when the next one is there; ``discard`` takes the result.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import materialise
+from glyphloom.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -26,11 +26,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         ends = star.select(u.alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(star.select(v.alias("n"), F.lit(0), F.lit(1)))
         loose = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
         if loose.isEmpty():
-            return star.select(u.alias("node"), v.alias("root"))
+            found = star.select(u.alias("node"), v.alias("root"))
+            found.stored_at = star.stored_at
+            return found
         both = star.union(star.select(v, u).toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(parent, "u").where("v != m").select(v.alias("u"), F.col("m").alias("v"))
-        star = materialise(small.union(parent.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, star = star, materialise(small.union(parent.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
     raise RuntimeError("the components did not settle")

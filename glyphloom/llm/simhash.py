@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import fresh, materialise, sorted_groups, strings
+from glyphloom.llm.common import discard, fresh, materialise, sorted_groups, strings
 from glyphloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -49,16 +49,18 @@ def fingerprint(text: str | None) -> int:
         return 0
     if len(words) < SHINGLE:
         shingles: Iterable[tuple] = [tuple(words)]
-        n = 1
     else:
         shingles = zip(*(words[k:] for k in range(SHINGLE)), strict=False)
-        n = len(words) - SHINGLE + 1
     digest, join = xxhash.xxh64_digest, b" ".join
-    hashes = np.frombuffer(b"".join([digest(join(s), SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([digest(join(s), SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the rows of eight bytes."""
     counts = np.zeros(64, dtype=np.int64)
-    for a in range(0, n, PIECE):
+    for a in range(0, len(hashes), PIECE):
         counts += np.unpackbits(hashes[a : a + PIECE], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
 def fingerprinted(text: Column) -> Column:
@@ -196,14 +198,19 @@ def rooted(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(fps.select("fp"), radius))
     member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return materialise(member, "members")
+    found = materialise(member, "members")
+    discard(roots)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Of each component the row with the smallest id."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), fingerprinted(F.col(text)).alias("fp"))
     rows = materialise(rows, "fingerprints")
-    return kept_rows(docs, rows.join(rooted(rows, radius), "fp").select("doc_id", "h", "root"), id_col, text)
+    members = rooted(rows, radius)
+    found = kept_rows(docs, rows.join(members, "fp").select("doc_id", "h", "root"), id_col, text)
+    discard(rows, members)
+    return found
 
 
 def kept_rows(docs: DataFrame, members: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -217,7 +224,8 @@ def kept_rows(docs: DataFrame, members: DataFrame, id_col: str, text: str) -> Da
     h = fresh(docs, "_h")
 
     def found(which: str) -> DataFrame:
-        named = kept.where(which).select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h"))
+        # One plan whatever the size: a broadcast of the kept keys would grow with the input.
+        named = kept.where(which).select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h")).hint("merge")
         return docs.withColumn(h, F.xxhash64(text)).join(named, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col(h) == F.col("_kept_h")), "left_semi")
 
     if kept.where("n > 1").isEmpty():

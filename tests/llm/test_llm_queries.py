@@ -12,9 +12,11 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from glyphloom.llm import media, mixing, op2, op4
+from glyphloom.llm import media, mixing, op2, op4, secrets_scan
+from glyphloom.llm.common import materialise
 from glyphloom.llm.queries import QUERIES, SQL
 from tests.compare import same, tables
+from tests.llm.test_near_copies import named
 
 
 @pytest.fixture(scope="module")
@@ -171,20 +173,35 @@ def test_op10(spark, sf):
     assert sum(a == b for a, b in held) >= 0.98 * len(held)
 
 
-def test_pipeline(spark, sf, docs):
-    """The stages that decide without a model against brute force, the others for what they must keep."""
-    rows = spark.read.parquet(f"{sf}/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "secrets", "mixing", "encode"]
-    told = {r.doc_id for r in stages["language"](spark, rows, sf).collect()}
-    assert {k for k, d in docs.items() if not any(c.isalpha() for c in d.text or "")}.isdisjoint(told) and len(told) > 0.97 * len(docs)
-    kept = {r.doc_id for r in stages["near_dedup"](spark, rows, sf).collect()}
-    assert kept == set(components({k: fingerprint(d.text) for k, d in docs.items()}).values())
-    clean = {r.doc_id: r for r in stages["secrets"](spark, rows, sf).collect()}
-    spans = run(spark, sf, "op8_secret_scan")
-    assert all((clean[k].text == d.text) == (spans[k].spans == "") for k, d in docs.items())
-    mixed = Counter(r.doc_id for r in stages["mixing"](spark, rows, sf).collect())
-    rates = {k: r.rate for k, r in run(spark, sf, "op7_source_mixing").items()}
-    assert all(int(rates[k]) <= mixed[k] <= int(rates[k]) + 1 for k in docs)
-    whole = corpus_pipeline.run(spark, sf).collect()
-    assert whole and all(r.n_tokens == len(r.ids) for r in whole)
+def test_pipeline(spark, sf):
+    """Each stage on its predecessor's rows against brute force or the operator's own library, and the whole run."""
+    import sentencepiece
+
+    rows, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    stages, made = dict(corpus_pipeline.STAGES), {}
+    assert list(stages) == ["language", "near_dedup", "secrets", "mixing", "encode"]
+    for name, stage in stages.items():
+        rows = materialise(stage(spark, rows, sf), name)
+        made[name] = rows.collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    told = {r.doc_id for r in made["language"]}
+    assert {d.doc_id for d in docs if not any(c.isalpha() for c in d.text or "")}.isdisjoint(told) and len(told) > 0.97 * len(docs)
+    assert {r.doc_id for r in made["near_dedup"]} == named({r.doc_id: r.text for r in made["language"]})
+    before = {r.doc_id: r.text for r in made["near_dedup"]}
+    assert sorted(before) == sorted(r.doc_id for r in made["secrets"])
+    for r in made["secrets"]:
+        base = secrets_scan.base_spans(before[r.doc_id] or "")
+        spans = base + secrets_scan.grammar_spans(before[r.doc_id] or "", secrets_scan.default_detector(), base)
+        assert r.text == (secrets_scan.masked(before[r.doc_id], spans) if spans else before[r.doc_id])
+    clean = {r.doc_id: r for r in made["secrets"]}
+    rates = {r.doc_id: r.rate for r in mixing.rated(spark.createDataFrame(made["secrets"], docs_schema(spark, sf)), labels).collect()}
+    mixed = Counter(r.doc_id for r in made["mixing"])
+    assert all(int(rates[k]) <= mixed[k] <= int(rates[k]) + 1 for k in clean) and all(r == clean[r.doc_id] for r in made["mixing"])
+    p = sentencepiece.SentencePieceProcessor(model_file=op4.model_path())
+    wanted = Counter((r.doc_id, tuple(p.encode(r.text or ""))) for r in made["mixing"])
+    assert wanted == Counter((r.doc_id, tuple(r.ids)) for r in made["encode"]) and all(r.n_tokens == len(r.ids) for r in made["encode"])
+    assert Counter(map(str, corpus_pipeline.run(spark, sf).collect())) == Counter(map(str, made["encode"]))
+
+
+def docs_schema(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").schema
