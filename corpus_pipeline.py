@@ -5,6 +5,11 @@ near_dedup   of each group of near copies (5-word Jaccard similarity 0.8 or more
 secrets      secrets are masked in the text; documents stay
 mixing       documents are repeated or left out by the rates that bring domains to their target weights
 encode       the last stage: every row's SentencePiece ids, with digests
+
+Defined results, for all stages: an empty table gives an empty one; whole texts are read, however long; columns beside the
+five of ``documents`` are passed on (``encode`` names its own) and may have any name; a null id is no id of its own, so rows
+without one are kept apart from each other; null language, source and length change nothing. Each stage says what it does with
+null and empty texts, repeated rows and ties.
 """
 
 from __future__ import annotations
@@ -22,7 +27,10 @@ LEAST_LIKENESS = 0.02
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that have no letter or whose best language is no likelier than chance."""
+    """Rejects documents that have no letter or whose best language is no likelier than chance.
+
+    Null, empty and letterless texts go. Repeated rows have one fate. Of languages equally near, the first by name counts.
+    """
     small_batches(spark)
     model = language_id.fit(docs)
     name = fresh(docs, "_language")
@@ -32,21 +40,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of near copies: that with the smallest id, rows without an id last.
+
+    Null and blank texts are copies of each other. Of rows with one id that whose text has the smallest hash stays; of equal rows, one.
+    """
     small_batches(spark)
     return near_copies.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts and has ``n_chars`` follow; rows are as many as before.
+
+    Null and empty texts stay as they are. Repeated rows get equal results. Spans that overlap are masked as one.
+    """
     small_batches(spark)
     return secrets_scan.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each row by the whole part of its rate, and once more with the rest's probability, drawn by a hash of its id.
+
+    Null and empty texts have no tokens and the rate of what they look like. Repeated rows, and rows without an id, share a draw.
+    """
     return mixing.mixed(docs, read_table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``lang``, ``source``, the ids and their number."""
+    """``doc_id``, ``lang``, ``source``, the ids and their number.
+
+    Null and empty texts have no ids. Repeated rows get equal results.
+    """
     small_batches(spark)
     ids = sentencepiece_codec.encoded(F.col("text"), op4.model_path())
     return docs.select("doc_id", "lang", "source", ids.alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
