@@ -19,16 +19,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, by Spark's default file system where it names none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), a temporary folder is made and used as checkpoint folder.
+    Where the session has none and runs on one machine (as in tests), a temporary folder is made and used as checkpoint folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return qualified(spark, base).rstrip("/")
 
 
 def _context_dir(spark: SparkSession) -> str | None:

@@ -10,8 +10,12 @@ in the whole corpus is its part's base and its offset.
 A task writes under a name of its own and renames when done, so a repeated task leaves the same files. ``index`` needs no
 read of the ids: it is the table of parts with their bases.
 
-Defined results: a null text has only the end id; an empty table gives no parts; documents of the same doc_id follow each
-other in the order of their texts' hashes; equal rows lie side by side. Long texts are encoded piece by piece.
+The strings of the tokenizer's added tokens are cut out of a text first and give those tokens' ids, as the library does it;
+``special_as_text`` takes those of special tokens for ordinary text instead.
+
+Defined results: a null or empty text has only the end id; an empty table gives no parts; documents of the same doc_id follow
+each other in the order of their texts' hashes, so equal rows (the only ties) lie side by side; columns beside id and text are
+not read, whatever their names. Long texts are encoded piece by piece.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.llm.common import qualified
 from glyphloom.llm.unit_cache import LONGEST, by_size
 
 MAGIC = b"TOKIDX01"
@@ -37,6 +43,7 @@ MAGIC = b"TOKIDX01"
 HEADER = "<8sIQQ"
 END_ID = 0
 BATCH_CHARS = 1 << 21
+READ_BYTES = 1 << 24
 #: Pieces in a generation of the cache.
 GENERATION = 400_000
 
@@ -120,17 +127,22 @@ class Pieces(dict):
 class ByteLevelEncoder:
     """Encodes texts with a tokenizers file whose pre-tokeniser is byte-level, distinct pieces once."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = {k: t for k, t in self.tokenizer.get_added_tokens_decoder().items() if not (special_as_text and t.special)}
+        self.added = sorted((t.content for t in added.values()), key=len, reverse=True)
+        #: Tokens that take neighbouring space along, or stand only between words, are left to the library.
+        self.cuts = None if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()) else re.compile(f"({'|'.join(map(re.escape, self.added))})")
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         self.by_pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.added_ids = {t.content: np.array([k], dtype=self.dtype).tobytes() for k, t in added.items()}
         self.tokenize = self.tokenizer.model.tokenize
         self.pieces, self.bare = Pieces(self, " "), Pieces(self, "")
         self.marks = lru_cache(maxsize=1 << 14)(self.encode_whole)
@@ -141,37 +153,47 @@ class ByteLevelEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as bytes of ``dtype``."""
+        return [self.encode_one(t) for t in texts]
+
+    def encode_one(self, text: str) -> bytes:
         if not self.by_pieces:
-            return [self.encode_whole(t) for t in texts]
-        out = []
-        for t in texts:
-            first, *pieces = t.split(" ")
-            try:
-                out.append(b"".join((self.bare[first] if t else b"", *map(self.pieces.__getitem__, pieces))))
-            except OddPiece:
-                out.append(b"".join([self.encode_whole(r) for r in runs(t)]))
-            self.pieces.turn()
-            self.bare.turn()
+            return self.encode_whole(text)
+        if any(map(text.__contains__, self.added)):
+            if self.cuts is None:
+                return self.encode_whole(text)
+            return b"".join(self.added_ids[part] if part in self.added_ids else self.encode_plain(part) for part in self.cuts.split(text))
+        return self.encode_plain(text)
+
+    def encode_plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        first, *pieces = text.split(" ")
+        try:
+            out = b"".join((self.bare[first] if text else b"", *map(self.pieces.__getitem__, pieces)))
+        except OddPiece:
+            out = b"".join([self.encode_whole(r) for r in runs(text)])
+        self.pieces.turn()
+        self.bare.turn()
         return out
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, threads: int = 1) -> ByteLevelEncoder:
+def encoder(path: str, threads: int = 1, special_as_text: bool = False) -> ByteLevelEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-    return ByteLevelEncoder(path)
+    return ByteLevelEncoder(path, special_as_text)
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """The store and path of a qualified URI; one without a scheme is completed on the driver (``common.qualified``)."""
+    return fs.FileSystem.from_uri(uri)
 
 
 PARTS = "part int, name string, n_docs bigint, n_ids bigint"
 
 
-def _writer(out: str, path: str, end_id: int, threads: int):
+def _writer(out: str, path: str, end_id: int, threads: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, threads)
+        enc = encoder(path, threads, special_as_text)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
@@ -208,18 +230,19 @@ def _writer(out: str, path: str, end_id: int, threads: int):
     return run
 
 
-def write(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, threads: int = 1) -> DataFrame:
+def write(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, threads: int = 1, special_as_text: bool = False) -> DataFrame:
     """Writes the files of all documents to the folder ``out`` (a URI that all machines reach) and returns their index.
 
     The index has a row for each part: its number, name, documents, ids, and ``base``, the ids of all parts before it.
     """
     spark = docs.sparkSession
+    out = qualified(spark, out)
     store, root = _open(out)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = sorted((r["part"], r["name"], r["n_docs"], r["n_ids"]) for r in dealt.mapInArrow(_writer(out, path, end_id, threads), PARTS).collect())
+    parts = sorted((r["part"], r["name"], r["n_docs"], r["n_ids"]) for r in dealt.mapInArrow(_writer(out, path, end_id, threads, special_as_text), PARTS).collect())
     base, table = 0, []
     for part in parts:
         table.append((*part, base))
@@ -227,12 +250,30 @@ def write(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text: st
     return spark.createDataFrame(table, PARTS + ", base bigint")
 
 
+class Range:
+    """Ids in a store that gives no memory map: slices read from the file, through a buffer of the next READ_BYTES."""
+
+    def __init__(self, file: pa.NativeFile, kind: str, total: int) -> None:
+        self.file, self.kind, self.total = file, np.dtype(kind), total
+        self.at, self.held = 0, np.empty(0, dtype=kind)
+
+    def __len__(self) -> int:
+        return self.total
+
+    def __getitem__(self, where: slice) -> np.ndarray:
+        a, b = where.start, where.stop
+        if a < self.at or b > self.at + len(self.held):
+            n = min(self.total - a, max(b - a, READ_BYTES // self.kind.itemsize))
+            self.file.seek(a * self.kind.itemsize)
+            self.at, self.held = a, np.frombuffer(self.file.read(n * self.kind.itemsize), dtype=self.kind)
+        return self.held[a - self.at : b - self.at]
+
+
 class Part:
-    """One part, memory-mapped where its files are local."""
+    """One part, memory-mapped where its files are local, else read by ranges."""
 
     def __init__(self, out: str, name: str) -> None:
         store, root = _open(out)
-        local = isinstance(store, fs.LocalFileSystem)
         with store.open_input_file(f"{root}/{name}.idx") as f:
             magic, width, n, total = struct.unpack(HEADER, f.read(struct.calcsize(HEADER)))
             if magic != MAGIC:
@@ -241,58 +282,65 @@ class Part:
             self.doc_ids = np.frombuffer(f.read(8 * n), dtype="<i8")
             self.has_id = np.frombuffer(f.read(n), dtype=np.uint8).astype(bool)
         kind = {2: "<u2", 4: "<u4"}[width]
-        if local and total:
-            self.ids = np.memmap(f"{root}/{name}.bin", dtype=kind, mode="r", shape=(total,))
-        else:
-            with store.open_input_file(f"{root}/{name}.bin") as f:
-                self.ids = np.frombuffer(f.read(), dtype=kind)
-        if len(self.ids) != total:
+        if store.get_file_info(f"{root}/{name}.bin").size != width * total:
             raise ValueError(f"{name}.bin doesn't have the ids that its index counts")
+        self.ids: np.ndarray | Range = np.empty(0, dtype=kind)
+        if total and isinstance(store, fs.LocalFileSystem):
+            self.ids = np.memmap(f"{root}/{name}.bin", dtype=kind, mode="r", shape=(total,))
+        elif total:
+            self.ids = Range(store.open_input_file(f"{root}/{name}.bin"), kind, total)
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
     def document(self, k: int) -> np.ndarray:
-        return self.ids[self.offsets[k] : self.offsets[k + 1]]
+        return self.ids[int(self.offsets[k]) : int(self.offsets[k + 1])]
 
+    def runs(self, docs: int = 20_000, ids: int = 1 << 20) -> Iterator[tuple[int, int]]:
+        """First and last document (exclusive) of runs of at most so many documents, and of about so many ids."""
+        a = 0
+        while a < len(self):
+            b = int(np.searchsorted(self.offsets, self.offsets[a] + ids, side="right")) - 1
+            b = min(len(self), a + docs, max(a + 1, b))
+            yield a, b
+            a = b
 
-def _reader(out: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
 
+def _reader(out: str, columns):
+    """Batches of doc_id, start and what ``columns`` makes of a part and the first and last document of a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 p = Part(out, name)
-                for a in range(0, len(p), 20_000):
-                    b = min(len(p), a + 20_000)
-                    crcs = [zlib.crc32(p.document(k).astype("<u4").tobytes()) for k in range(a, b)]
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(p.doc_ids[a:b], mask=~p.has_id[a:b]),
-                        "start": pa.array(p.offsets[a:b] + base),
-                        "n_tokens": pa.array(p.offsets[a + 1 : b + 1] - p.offsets[a:b]),
-                        "ids_crc32": pa.array(crcs, pa.int64()),
-                    })
+                for a, b in p.runs():
+                    own = {"doc_id": pa.array(p.doc_ids[a:b], mask=~p.has_id[a:b]), "start": pa.array(p.offsets[a:b] + base)}
+                    yield pa.RecordBatch.from_pydict(own | columns(p, a, b))
 
     return run
 
 
+def _read(index: DataFrame, out: str, columns, schema: str) -> DataFrame:
+    """One task for each part: each has as many documents as one that wrote."""
+    named = index.select("part", "name", "base")
+    return named.repartitionByRange(max(1, index.count()), "part").mapInArrow(_reader(qualified(index.sparkSession, out), columns), "doc_id bigint, start bigint, " + schema)
+
+
 def read_digests(index: DataFrame, out: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens and the crc32 of its ids as unsigned 32-bit integers."""
-    named = index.select("name", "base").repartition(F.col("name"))
-    return named.mapInArrow(_reader(out), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
+    def columns(p: Part, a: int, b: int) -> dict[str, pa.Array]:
+        crcs = [zlib.crc32(p.document(k).astype("<u4").tobytes()) for k in range(a, b)]
+        return {"n_tokens": pa.array(p.offsets[a + 1 : b + 1] - p.offsets[a:b]), "ids_crc32": pa.array(crcs, pa.int64())}
 
-def read_ids(index: DataFrame, out: str) -> DataFrame:
-    """Per document, from the files: doc_id, start and the ids themselves."""
+    return _read(index, out, columns, "n_tokens bigint, ids_crc32 bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = Part(out, name)
-                for k in range(len(p)):
-                    doc = int(p.doc_ids[k]) if p.has_id[k] else None
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "start": pa.array([int(p.offsets[k]) + base], pa.int64()), "ids": pa.array([p.document(k).astype(np.int64).tolist()], pa.list_(pa.int64()))})
 
-    return index.select("name", "base").repartition(F.col("name")).mapInArrow(run, "doc_id bigint, start bigint, ids array<bigint>")
+def read_ids(index: DataFrame, out: str) -> DataFrame:
+    """Per document, from the files: doc_id, start and the ids themselves."""
 
+    def columns(p: Part, a: int, b: int) -> dict[str, pa.Array]:
+        flat = pa.array(p.ids[int(p.offsets[a]) : int(p.offsets[b])].astype(np.int64))
+        return {"ids": pa.ListArray.from_arrays(pa.array(p.offsets[a : b + 1] - p.offsets[a], pa.int32()), flat)}
 
+    return _read(index, out, columns, "ids array<bigint>")

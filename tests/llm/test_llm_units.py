@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from glyphloom.llm import components, grammar, licences, media, op2, op4, quality_rules, secrets_scan, sentencepiece_codec, simhash, token_files, toxicity
+from glyphloom.llm.common import scratch_path
 
 
 def groups_by_force(codes, radius):
@@ -81,6 +82,49 @@ def test_byte_level(seed):
     assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|>x", "x<|endoftext|>", "<|endoftext|><|endoftext|>", "  <|endoftext|>\n\n", "a<|endoftext", "<|<|endoftext|>|>", "x " * 50_000 + "<|endoftext|> y"]
+
+
+def test_added_tokens():
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(4)
+    texts = ADDED + ["".join(rnd.choice(["<|endoftext|>", "<|", "endoftext", "|>", " ", "a", "b.", "\n", "é"]) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    for as_text in (False, True):
+        t = Tokenizer.from_file(op2.tokenizer_path())
+        t.encode_special_tokens = as_text
+        own = token_files.ByteLevelEncoder(op2.tokenizer_path(), as_text)
+        assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_files_read_back(spark, monkeypatch):
+    """Files of several parts, read as digests and as ids, one task for each part; and by ranges, as from a store without memory maps."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(op2.tokenizer_path())
+    texts = [f"text {k} " * (k % 7) + ADDED[k % 8] for k in range(300)]
+    docs = spark.createDataFrame([(7 * k % 300, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(5)
+    out = scratch_path(spark, "tokens")
+    monkeypatch.setattr(token_files, "READ_BYTES", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    index = token_files.write(docs, out, op2.tokenizer_path())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = {r.doc_id: r for r in token_files.read_ids(index, out).collect()}
+    start = 0
+    for k, x in sorted((7 * k % 300, x) for k, x in enumerate(texts)):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        assert (found[k].start, found[k].ids) == (start, ids)
+        start += len(ids)
+    digests = token_files.read_digests(index, out)
+    assert digests.rdd.getNumPartitions() == index.count() > 1 and digests.count() == 300
+    name = index.first()["name"]
+    p = token_files.Part(out, name)
+    with open(f"{out.removeprefix('file://')}/{name}.bin", "rb") as f:
+        ranges = token_files.Range(f, p.ids.dtype.str, len(p.ids))
+        for a, b in [(0, 3), (5, 9), (2, 4), (len(p.ids) - 2, len(p.ids))]:
+            assert (ranges[a:b] == p.ids[a:b]).all()
+
+
 def test_sentencepiece_parity():
     rnd = random.Random(2)
     texts = ["", " ", "  ", "a  b", " a ", "▁", "a▁b", "▁▁x", "日本語 テキスト", "\x00", "<unk> <s> <0x41>", "x" * 400]
