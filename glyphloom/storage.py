@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where the session has none, a temporary folder that becomes its checkpoint folder."""
+    """``spark.checkpoint.dir``; where the session has none and runs on one machine, a temporary folder that becomes its checkpoint folder."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     base = spark.conf.get("spark.checkpoint.dir", None) or (found.get() if found.isDefined() else None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="glyphloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
