@@ -11,11 +11,19 @@ Nyström features are the kernel values times the inverse root of the landmarks'
 hinge, balanced classes, solved by Newton's method) is trained on the labelled texts' features, and a logistic function
 of its value, fitted to the same texts, is the score.
 
+Setting small values to zero makes the landmarks' matrix slightly indefinite; its negative and vanishing eigenvalues are left
+out of the map, which is the nearest positive semidefinite kernel on the landmarks.
+
 Training takes a bounded sample: about ``most_toxic`` toxic and ``most_other`` other labelled documents, chosen by a hash
 of their ids. Scoring covers all documents and whole texts, with nothing but the text as input.
 
+Every token is judged by the same kernel, however long: a long token's subsequences are counted piece by piece into one table of
+all codes, with pieces that overlap by as much as a subsequence spans, so memory is bounded and the value is that of the whole.
+
 Defined results: null and empty texts have no token like a landmark and get the score of all such texts; without labels of
-both kinds every score is 0; repeated rows get equal scores; where an id is labelled more than once, the largest label counts.
+both kinds, and from empty tables, every score is 0; repeated rows get equal scores; where an id is labelled more than once, the
+largest label counts; where a labelled id has several rows, the text with the smallest hash is learnt from; landmarks that are
+equally telling are taken in the order of their letters; columns beside id and text may have any name.
 """
 
 from __future__ import annotations
@@ -45,8 +53,8 @@ SCALE = 50.0
 LEAST_DOCS = 3
 #: Tokens a worker remembers.
 KEPT_TOKENS = 600_000
-#: Longer tokens are judged in pieces of so many characters, by the piece with the largest values.
-TOKEN_PIECE = 4096
+#: Letters whose subsequences are held at a time. A longer token is counted piece by piece, to the same result.
+PIECE = 1 << 16
 SPELT = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?!\w)")
 NOT_LETTER = re.compile(r"[\W\d_]+")
 FIRST, LAST, LETTERS = 62, 63, 64
@@ -98,6 +106,24 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(w), np.concatenate(c), np.concatenate(weight)
 
 
+def counted(word: str) -> np.ndarray:
+    """The weights of all codes of one word, however long: pieces overlap so that each subsequence is in one of them."""
+    out, reach = np.zeros(LETTERS**3), 2 * MOST_GAP + 2
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = np.empty(len(points) + 2, dtype=np.int64)
+    codes[0], codes[-1] = FIRST, LAST
+    codes[1:-1] = _letter_numbers()[points]
+    for a in range(0, len(codes), PIECE):
+        some = codes[a : a + PIECE + reach]
+        for g in range(MOST_GAP + 1):
+            for h in range(MOST_GAP + 1):
+                n = min(PIECE, len(some) - g - h - 2)
+                if n > 0:
+                    code = some[:n] * LETTERS**2 + some[1 + g : 1 + g + n] * LETTERS + some[g + h + 2 : g + h + 2 + n]
+                    out += DECAY ** (g + h) * np.bincount(code, minlength=LETTERS**3)
+    return out
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same with equal codes of a word added up and each word's vector of length one."""
     word, code, weight = _grams(words)
@@ -156,6 +182,14 @@ class Landmarks:
         return out
 
 
+    def long_kernel(self, word: str) -> np.ndarray | None:
+        """The same for one word of any length; None where all values are zero."""
+        weight = counted(word)
+        values = weight[self.codes] @ self.table[:-1] / np.sqrt(max(float(weight @ weight), 1e-12))
+        values[values < LEAST_KERNEL] = 0
+        return np.round(values, 9) if values.any() else None
+
+
 class Matcher:
     """Finds the tokens of texts that are like a landmark; remembers tokens it has judged."""
 
@@ -167,19 +201,29 @@ class Matcher:
     def judge(self, tokens: set[str]) -> None:
         if len(self.judged) > KEPT_TOKENS:
             self.judged, self.near = set(), {}
-        new = [t for t in tokens - self.judged if len(t) <= TOKEN_PIECE]
-        for long in tokens - self.judged - set(new):
-            pieces = [letters_of(long[a : a + TOKEN_PIECE]) for a in range(0, len(long), TOKEN_PIECE)]
-            values = [v for a in range(0, len(pieces), 64) for v in self.landmarks.kernels(pieces[a : a + 64]).values()]
-            if values:
-                self.near[long] = np.max(values, axis=0)
-            self.judged.add(long)
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for k, v in self.landmarks.kernels([letters_of(t) for t in some]).items():
-                self.near[some[k]] = v
+        new = sorted(tokens - self.judged)
+        some: list[str] = []
+        words: list[str] = []
+        held = 0
+        for t in new:
+            word = letters_of(t)
+            if len(word) > PIECE:
+                if (v := self.landmarks.long_kernel(word)) is not None:
+                    self.near[t] = v
+                continue
+            some.append(t)
+            words.append(word)
+            held += len(word) + 2
+            if held > PIECE:
+                self._judge(some, words)
+                some, words, held = [], [], 0
+        self._judge(some, words)
         self.judged.update(new)
 
+    def _judge(self, tokens: list[str], words: list[str]) -> None:
+        for k, v in self.landmarks.kernels(words).items():
+            self.near[tokens[k]] = v
+
     def vectors(self, texts: list[str]) -> Iterator[np.ndarray | None]:
         """For each text its kernel values with the landmarks, None where all are zero."""
         lists = [tokens_of(t) for t in texts]
@@ -301,7 +345,9 @@ def sampled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_other: int
     chosen = known.where(hash_fraction(F.col("_id"), F.lit("toxic")) < share)
     # The sample has about most_toxic + most_other rows whatever the input's size, so it can be sent to all executors.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return materialise(rows.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")), "toxicity-sample")
+    # One row for each id, so that a labelled id on many rows leaves the sample bounded.
+    one = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", (F.col("toxic") == 1).cast("int").alias("toxic"))).alias("r"))
+    return materialise(one.select("r.text", "r.toxic"), "toxicity-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_other: int = 8000, landmarks: int = LANDMARKS) -> ToxicityModel:

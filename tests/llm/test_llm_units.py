@@ -153,18 +153,66 @@ def test_container():
 
 
 def test_suffix_automaton():
+    """Matching statistics, and every place where an end of the matched passage ends, against all passages."""
     rnd = random.Random(3)
     sequences = [[rnd.randrange(4) for _ in range(rnd.randint(5, 20))] for _ in range(4)]
-    automaton, first = licences.SuffixAutomaton(sequences), {}
+    automaton, places = licences.SuffixAutomaton(sequences), {}
     for k, s in enumerate(sequences):
         for i in range(len(s)):
             for j in range(i + 1, len(s) + 1):
-                first.setdefault(tuple(s[i:j]), {}).setdefault(k, j)
+                places.setdefault(tuple(s[i:j]), set()).add((k, j))
     for _ in range(100):
         query = [rnd.randrange(5) for _ in range(30)]
         for i, (state, n) in enumerate(automaton.statistics(query)):
-            assert n == max((m for m in range(1, i + 2) if tuple(query[i + 1 - m : i + 1]) in first), default=0)
-            assert not n or automaton.first[state] == first[tuple(query[i + 1 - n : i + 1])]
+            assert n == max((m for m in range(1, i + 2) if tuple(query[i + 1 - m : i + 1]) in places), default=0)
+            wanted = {}
+            for m in range(2, n + 1):
+                wanted |= {p: m for p in places[tuple(query[i + 1 - m : i + 1])]}
+            found = list(automaton.endings(state, n, 2))
+            assert {(k, j): m for k, j, m in found} == wanted and len(found) == len(wanted)
+
+
+def best_chain(words, template, least, gap):
+    """Brute force: the most words of the template that a chain of passages which cannot be extended covers."""
+    matches = []
+    for i in range(len(words)):
+        for j in range(len(template)):
+            n = 0
+            while i + n < len(words) and j + n < len(template) and words[i + n] == template[j + n]:
+                n += 1
+            if n >= least and (i == 0 or j == 0 or words[i - 1] != template[j - 1]):
+                matches.append((i + n, j + n, n))
+    best = {}
+    for at, end, n in sorted(matches):
+        best[at, end, n] = n
+        for (h_at, h_end, h_n), covered in list(best.items()):
+            gained = n - max(0, h_at - (at - n), h_end - (end - n))
+            if (h_at, h_end, h_n) < (at, end, n) and gained > 0 and end > h_end and at - n - h_at <= gap and end - n - h_end <= gap:
+                best[at, end, n] = max(best[at, end, n], covered + gained)
+    return max(best.values(), default=0)
+
+
+def test_chains_over_all_places(monkeypatch):
+    """A passage that recurs in a template, or stands in two, is chained wherever it stands."""
+    template = "p q r s t a b c d e u v w x y a b c d e g h i j k"
+    scanner = licences.LicenceScanner({"one": [template]})
+    assert scanner.scan("u v w x y zz a b c d e zz g h i j k").labels == ["one"]
+    rnd = random.Random(8)
+    for _ in range(60):
+        templates = {str(k): [" ".join(rnd.choice("abc") for _ in range(rnd.randint(8, 25)))] for k in range(3)}
+        scanner = licences.LicenceScanner(templates)
+        words = [w.encode() for w in (" ".join(rnd.choice([*templates.values()])[0][: rnd.randint(5, 40)] + " " + rnd.choice("abcz") for _ in range(3))).split()]
+        found = {t: covered for t, _, _, covered in scanner.chains(scanner.matches(words))}
+        for k in range(3):
+            assert found.get(k, 0) == best_chain(words, licences.words_of(templates[str(k)][0]), scanner.least, licences.MOST_GAP)
+
+
+@pytest.mark.parametrize("label", sorted(licences.TEMPLATES))
+def test_own_notice(label):
+    """Each notice gives its label and, unless a fixed phrase stands in it, no other."""
+    for text in licences.TEMPLATES[label]:
+        found = licences.default_scanner().scan("before it " + text + " after it")
+        assert set(found.labels) - set(found.base_labels) <= {label} and label in found.labels
 
 
 def test_licence_with_gap():
@@ -202,6 +250,61 @@ def test_kernel():
     assert toxicity.letters_of("i.d.i.o.t!") == "idiot" and "i d i o t" in toxicity.tokens_of("an I d i o t here")
 
 
+def naive_features(word):
+    """Subsequences of three of the word's letters between its end marks, by their definition."""
+    letters, out = ["^", *word, "$"], {}
+    for i in range(len(letters)):
+        for j in range(i + 1, min(len(letters), i + 2 + toxicity.MOST_GAP)):
+            for k in range(j + 1, min(len(letters), j + 2 + toxicity.MOST_GAP)):
+                gaps = (j - i - 1) + (k - j - 1)
+                key = letters[i] + letters[j] + letters[k]
+                out[key] = out.get(key, 0) + toxicity.DECAY**gaps
+    return out
+
+
+def naive_kernel(a, b):
+    x, y = naive_features(a), naive_features(b)
+    length = lambda f: sum(v * v for v in f.values()) ** 0.5
+    k = sum(v * y.get(c, 0) for c, v in x.items()) / (length(x) * length(y) or 1)
+    return k if k >= toxicity.LEAST_KERNEL else 0
+
+
+def test_kernel_by_its_definition(monkeypatch):
+    rnd = random.Random(6)
+    names = ["idiot", "stupid", "moron", "trash"]
+    words = names + ["".join(rnd.choice("idotsupmrnah") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    for w in names * 20:
+        k = rnd.randrange(len(w))
+        words.append(w[:k] + rnd.choice("xyz") * rnd.randint(1, 2) + w[k:])
+    found = toxicity.Landmarks(names).kernels(words)
+    for k, w in enumerate(words):
+        assert found.get(k, np.zeros(len(names))) == pytest.approx([naive_kernel(w, n) for n in names], abs=1e-8)
+    monkeypatch.setattr(toxicity, "PIECE", 16)
+    marks = toxicity.Landmarks(names)
+    for w in ["idiot" * 9, "stupid" + "x" * 40, "idiot" + "y" * 16, "moron" * 7 + "z" * 3, *words[:40]]:
+        own = marks.long_kernel(w)
+        assert (np.zeros(len(names)) if own is None else own) == pytest.approx([naive_kernel(w, n) for n in names], abs=1e-8)
+
+
+@pytest.mark.parametrize("n", [0, 1, 4090, 4093, 4096, 70_000])
+def test_one_rule_for_every_length(n, monkeypatch):
+    """Marks don't count, and neither does the length that once changed the rule."""
+    m = toxicity.Matcher(toxicity.Landmarks(["idiot"]))
+    m.judge({"." * n + "idiot", "idiot" * 820, "idiot" * 819, "idiot" * 14_000})
+    assert list(m.near) == ["." * n + "idiot"]
+
+
+def test_scores_by_their_definition():
+    """The score from naive kernels: their sums over tokens, times the machine's weights, through the logistic function."""
+    names = ["idiot", "stupid"]
+    model = toxicity.ToxicityModel(names, np.array([0.7, -0.2]), -1.5, 1.3, 0.2)
+    for text in ["", "an idiot here", "stuupid idi.ot and s t u p i d", "no such thing", "IDIOT! " * 50]:
+        tokens = toxicity.tokens_of(text)
+        sums = [sum(naive_kernel(toxicity.letters_of(t), n) for t in tokens if toxicity.letters_of(t)) for n in names]
+        value = -1.5 + sum(w * toxicity.SCALE * s / (len(tokens) + toxicity.SHORT) for w, s in zip([0.7, -0.2], sums))
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-(1.3 * value + 0.2))), abs=1e-7)
+
+
 def test_ablation(spark):
     rows = spark.createDataFrame([(0,), (1,), (1,), (3,), (4,)], "failed int")
     found = {r.rule: (r.n_failed, r.n_only, r.n_kept_without) for r in quality_rules.ablation(rows, "v1").collect()}
