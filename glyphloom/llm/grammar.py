@@ -1,8 +1,10 @@
 """Inference of probabilistic automata from strings, by merging compatible states of a prefix tree.
 
 The tree of the training strings' prefixes holds how often each state is passed, left by each symbol, and ended in.
-States are visited in the order of their depth; one is merged into an earlier one if, by Hoeffding's bound, neither
-their frequencies of ending and of each symbol nor those of the states that follow differ; a merge folds the subtree.
+States are visited in the order of their depth; one may be merged into an earlier one if, by Hoeffding's bound, neither
+their frequencies of ending and of each symbol nor those of the states that follow differ; a merge folds the subtree. Of the
+earlier states that it may be merged into, that is taken under which the strings that pass it are likeliest (of equal ones the
+earliest): a state that few strings pass differs from none, and would else go to the first.
 """
 
 from __future__ import annotations
@@ -38,19 +40,23 @@ class Automaton:
 def infer(strings: list[str], symbols: int, alpha: float = 0.05) -> Automaton:
     """The automaton of the strings, over an alphabet of so many symbols."""
     moves: list[dict[str, list[int]]] = [{}]
-    ends, totals = [0], [0]
+    #: ``ahead``: symbols and ends that the strings which pass a state have from there on.
+    ends, totals, ahead = [0], [0], [0]
     for s in sorted(strings):
         state = 0
         totals[0] += 1
-        for c in s:
+        ahead[0] += len(s) + 1
+        for k, c in enumerate(s, 1):
             move = moves[state].setdefault(c, [len(moves), 0])
             if move[0] == len(moves):
                 moves.append({})
                 ends.append(0)
                 totals.append(0)
+                ahead.append(0)
             move[1] += 1
             state = move[0]
             totals[state] += 1
+            ahead[state] += len(s) - k + 1
         ends[state] += 1
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
@@ -79,6 +85,7 @@ def infer(strings: list[str], symbols: int, alpha: float = 0.05) -> Automaton:
             x, y = todo.pop()
             totals[x] += totals[y]
             ends[x] += ends[y]
+            ahead[x] += ahead[y]
             for c, (nxt, n) in moves[y].items():
                 if c in moves[x]:
                     moves[x][c][1] += n
@@ -86,6 +93,23 @@ def infer(strings: list[str], symbols: int, alpha: float = 0.05) -> Automaton:
                 else:
                     moves[x][c] = [nxt, n]
 
+    def evidence(a: int, b: int) -> float:
+        """Logarithm of the likelihood under ``a`` of what the strings do from ``b`` on; uniform where ``a`` knows no way on."""
+        out, todo = 0.0, [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            whole = totals[x] + SMOOTH * (symbols + 1)
+            out += ends[y] * math.log((ends[x] + SMOOTH) / whole)
+            for c, (nxt, n) in moves[y].items():
+                p = moves[x].get(c)
+                out += n * math.log(((p[1] if p else 0) + SMOOTH) / whole)
+                if p:
+                    todo.append((p[0], nxt))
+                else:
+                    out += ahead[nxt] * uniform
+        return out
+
+    uniform = -math.log(symbols + 1)
     red = [0]
     blue = [(0, c) for c in sorted(moves[0])]
     while blue:
@@ -93,11 +117,11 @@ def infer(strings: list[str], symbols: int, alpha: float = 0.05) -> Automaton:
         b = moves[parent][c][0]
         if b in red:
             continue
-        for a in red:
-            if compatible(a, b):
-                moves[parent][c][0] = a
-                fold(a, b)
-                break
+        able = [a for a in red if compatible(a, b)]
+        if able:
+            best = max(able, key=lambda a: evidence(a, b)) if len(able) > 1 else able[0]
+            moves[parent][c][0] = best
+            fold(best, b)
         else:
             red.append(b)
         known = set(red)
