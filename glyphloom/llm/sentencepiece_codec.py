@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
-The model file is a protocol-buffer message. It is parsed here, field by field, and rebuilt: the normaliser (character
-map, extra white space, dummy prefix), the metaspace marker, the pieces with their unigram scores or, for a BPE model,
-the merges that these scores order, and byte fallback. Batches are encoded by the library in several threads.
-``parity`` compares a rebuilt codec with the SentencePiece library itself.
+The model file is a protocol-buffer message. It is parsed here, field by field, and rebuilt of the library's objects: the
+normaliser (character map, extra white space, dummy prefix, metaspace marker), the pieces with their unigram scores or, for a BPE
+model, the merges that these scores order, byte fallback, and the decoder. Pieces that users define are cut out before the
+character map, as they stand. Batches are encoded by the library in several threads. ``parity`` compares a rebuilt codec with the
+SentencePiece library itself. Models whose marker follows words, or that leave spaces as they are, raise NotImplementedError.
 
 Where no piece has the marker after another character, no token crosses the start of a run of markers. Texts are then
 cut there, and each distinct unit is encoded once (see unit_cache); long texts are so encoded without one huge call.
 Other models are encoded a text at a time.
 
 Defined results: a null text is encoded as the empty one, which has no ids; a text decodes to what the model's own
-normalisation leaves of it. Repeated rows get equal results.
+normalisation leaves of it; null ids decode to null. Repeated rows get equal results; an empty table gives an empty one; columns
+beside the text may have any name. Of cuts of a text that a unigram model scores equally, the library takes the first by sums of
+double precision, where SentencePiece's single precision may tell them apart.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ MARKER = "▁"
 #: Kinds of pieces and models in the public protocol definition.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: A noncharacter.
+NO_TEXT = "\U0010fffe"
 BATCH_CHARS = 1 << 21
 
 
@@ -115,6 +120,8 @@ def parse(data: bytes) -> Model:
     m.unk = unknown[0] if unknown else m.unk
     if m.kind not in (UNIGRAM, BPE) or m.whitespace_suffix or not m.escape_space:
         raise NotImplementedError("only unigram and BPE models with a leading marker are rebuilt")
+    if m.kind == BPE and any(kind == UNUSED for _, _, kind in m.pieces):
+        raise NotImplementedError("a BPE model with unused pieces")
     return m
 
 
@@ -135,42 +142,84 @@ def crosses(m: Model) -> bool:
 
 
 def build(m: Model):
-    """The tokenizers library's object for normalised text."""
+    """The tokenizers library's object for normalised text, with the decoder.
+
+    A unigram model there takes every piece for text: those that are none get names that no text has, and unknown
+    characters are turned into bytes by the codec.
+    """
     from tokenizers import Tokenizer, decoders, models
 
-    if any(kind == USER_DEFINED for _, _, kind in m.pieces):
-        raise NotImplementedError("pieces defined by users")
     if m.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk, byte_fallback=m.byte_fallback)
+        best = max((s for _, s, kind in m.pieces), default=0.0)
+        scores = [s if kind != USER_DEFINED else len(p.encode()) * best - 0.1 for p, s, kind in m.pieces]
+        names = [p if kind in (NORMAL, USER_DEFINED) else NO_TEXT + p for p, _, kind in m.pieces]
+        model = models.Unigram(list(zip(names, scores, strict=True)), unk_id=m.unk, byte_fallback=False)
     else:
         vocab = {p: k for k, (p, _, _) in enumerate(m.pieces)}
         model = models.BPE(vocab, merges(m), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
     t = Tokenizer(model)
     steps = [decoders.ByteFallback()] if m.byte_fallback else []
-    t.decoder = decoders.Sequence([*steps, decoders.Fuse()])
+    t.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), *steps, decoders.Fuse()])
     return t
 
 
+def marking(m: Model):
+    """The library's normaliser for what follows the character map: extra spaces, the dummy prefix, the marker."""
+    from tokenizers import Regex, normalizers
+
+    extra = [normalizers.Replace(Regex(r"\A +"), ""), normalizers.Replace(Regex(" {2,}"), " ")] if m.drop_extra_space else []
+    dummy = [normalizers.Prepend(MARKER)] if m.dummy_prefix else []
+    ending = [normalizers.Replace(Regex(MARKER + r"+\z"), "")] if m.drop_extra_space else []
+    return normalizers.Sequence([*extra, *dummy, normalizers.Replace(" ", MARKER), *ending])
+
+
 class Codec:
     """Encodes and decodes with one model file."""
 
     def __init__(self, data: bytes) -> None:
         self.model = parse(data)
         self.tokenizer = build(self.model)
+        self.marking = marking(self.model)
         self.by_units = not crosses(self.model)
         self.dtype = "<u2" if len(self.model.pieces) <= 1 << 16 else "<u4"
         self.cache = UnitCache(self._encode_batch, self.dtype)
         self.reference = None
         #: Units whose ids differ from the reference's; empty as long as there is none.
         self.differing: set[str] = set()
+        self.bytes_of = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE} if self.model.byte_fallback else {}
+        #: What the decoder gets for each id.
+        self.names = [" ⁇ " if kind == UNKNOWN else p for p, _, kind in self.model.pieces]
+        self.silent = {k for k, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
+        #: Pieces that users define, the longest first, and what finds them.
+        self.defined = {p: k for k, (p, _, kind) in enumerate(self.model.pieces) if kind == USER_DEFINED}
+        if any(MARKER in p or " " in p for p in self.defined):
+            raise NotImplementedError("pieces defined by users that have spaces")
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.defined, key=len, reverse=True))) + ")") if self.defined else None
         self._map = None
         if self.model.charsmap:
             from tokenizers import normalizers
 
             self._map = normalizers.Precompiled(self.model.charsmap)
 
+    def _encode_normal(self, texts: list[str]) -> list[list[int]]:
+        """Ids of normalised texts; in a BPE model, what users define is cut out of them."""
+        if self.model.kind == UNIGRAM:
+            found = (self.tokenizer.encode_batch if self.bytes_of else self.tokenizer.encode_batch_fast)(texts, add_special_tokens=False)
+            return [self._with_bytes(e) if self.bytes_of and self.model.unk in e.ids else e.ids for e in found]
+        if self.cuts is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [self.cuts.split(t) for t in texts]
+        plain = [p for x in parts for p in x[::2]]
+        ids = iter([e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)])
+        return [[i for k, p in enumerate(x) for i in ([self.defined[p]] if k % 2 else next(ids))] for x in parts]
+
+    def _with_bytes(self, encoding) -> list[int]:
+        """The ids with the bytes of unknown characters in place of the unknown piece."""
+        pairs = zip(encoding.ids, encoding.tokens, strict=True)
+        return [i for k, t in pairs for i in ([self.bytes_of[b] for b in t.encode()] if k == self.model.unk else [k])]
+
     def _encode_batch(self, units: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        ids = self._encode_normal(units)
         if self.reference is not None:
             start = len(MARKER) if self.model.dummy_prefix else 0
             wanted = self.reference.encode([u[start:].replace(MARKER, " ") for u in units], num_threads=1)
@@ -184,12 +233,9 @@ class Codec:
     def normalise(self, text: str) -> str:
         """The text as the model sees it: mapped, extra spaces dropped if it says so, spaces as markers."""
         if self._map is not None:
-            text = self._map.normalize_str(text)
-        if self.model.drop_extra_space:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (MARKER if self.model.dummy_prefix else "") + text.replace(" ", MARKER)
+            mapped = self._map.normalize_str
+            text = mapped(text) if self.cuts is None else "".join(p if k % 2 else mapped(p) for k, p in enumerate(self.cuts.split(text)))
+        return self.marking.normalize_str(text)
 
     def units(self, normal: str) -> list[str]:
         """The normalised text cut before each run of markers."""
@@ -210,25 +256,21 @@ class Codec:
                 out += [np.array(x, dtype=self.dtype) for x in self._encode_batch(normal)]
         return out
 
-    @property
-    def texts_of(self) -> list[bytes]:
-        """Each piece's bytes: what it adds to a decoded text."""
-        if not hasattr(self, "_bytes"):
-            kinds = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: " ⁇ ".encode()}
-            self._bytes = [kinds[kind](p) if kind in kinds else p.replace(MARKER, " ").encode() for p, _, kind in self.model.pieces]
-        return self._bytes
-
     def decode(self, ids) -> str:
-        """The text of the ids; bytes that are no UTF-8 become U+FFFD, one dummy space is taken off."""
-        of = self.texts_of
-        text = b"".join([of[k] for k in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
-
-    def decode_tokens(self, ids: list[int]) -> str:
-        """The same through the library's decoder."""
-        tokens = [self.model.pieces[k][0] for k in ids if self.model.pieces[k][2] != CONTROL]
-        text = self.tokenizer.decoder.decode([t.replace(MARKER, " ") for t in tokens])
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        """The text of the ids, by the library's decoder, without the marker that stands for the dummy prefix.
+
+        Models that drop extra spaces take one marker from each piece before the text begins.
+        """
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+        if self.silent and not self.silent.isdisjoint(ids):
+            ids = [k for k in ids if k not in self.silent]
+        pieces = list(map(self.names.__getitem__, ids))
+        if self.model.dummy_prefix or self.model.drop_extra_space:
+            for k, p in enumerate(pieces):
+                pieces[k] = p.removeprefix(MARKER)
+                if pieces[k] or not self.model.drop_extra_space:
+                    break
+        return self.tokenizer.decoder.decode(pieces)
 
 
 @lru_cache(maxsize=4)
