@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 
 import corpus_pipeline
@@ -143,12 +145,66 @@ def test_op7(spark, sf, docs):
     n = np.array([r.n_tokens for r in found.values()], dtype=float)
     rates, goal = np.ones(len(n)), total * np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
     have = n @ memberships
-    for _ in range(60):  # the same descent over documents instead of memberships
+    for _ in range(2000):  # the descent over documents instead of cells
         rates = np.maximum(0, rates - memberships @ (((n * rates) @ memberships - goal) / have))
     own = np.array([r.rate for r in found.values()])
     assert (own >= 0).all() and np.abs(((n * own) @ memberships - (n * rates) @ memberships) / total).max() < 2e-3
 
 
+@pytest.mark.parametrize("weights", [None, {"clean": 0.6, "toxic": 0.1, "poor": 0.25, "poor_toxic": 0.05}])
+def test_op7_reaches_targets(spark, weights):
+    """On the larger table the expected totals of the exact, unrounded memberships are the targets."""
+    sf = "/root/testdata/sf0.01"
+    rows = mixing.rated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), weights).collect()
+    total = sum(r.n_tokens for r in rows)
+    for d, share in (weights or mixing.WEIGHTS).items():
+        assert sum(r.n_tokens * r.rate * r[f"p_{d}"] for r in rows) / total == pytest.approx(share, abs=2e-5)
+
+
+def test_op7_classifier(spark, sf, docs, labels):
+    """The memberships against naive Bayes written out over all labelled documents that aren't held out."""
+    found = run(spark, sf, "op7_source_mixing")
+
+    def measures(text):
+        text = text or ""
+        words, lines = re.findall("[^\x20\x09-\x0d]+", text), [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        values = {
+            "symbols": sum(c in "#*$%&|<>" for c in text) / max(1, len(words)), "capitals": len(regex.findall(r"\p{Lu}", text)) / max(1, len(text)),
+            "distinct": len(set(words)) / max(1, len(words)), "letters": len(regex.findall(r"\p{L}", text)) / max(1, len(text)),
+            "length": len(text) / max(1, len(words)), "words": len(words), "repeats": (len(lines) - len(set(lines))) / max(1, len(lines)),
+        }
+        return {k: sum(v > b for b in mixing.BINS[k]) for k, v in values.items()}, set(regex.findall(r"\p{L}+", text.lower()))
+
+    known = {k: measures(d.text) for k, d in docs.items()}
+    learnt = [k for k in labels if k in docs and zlib.crc32(str(k).encode()) % 5]
+    odds = {}
+    for c in mixing.TARGETS_OF:
+        y = {k: labels[k][c] == 1 for k in learnt}
+        n1, n0 = sum(y.values()), len(y) - sum(y.values())
+        own = {k: math.log((n1 + 0.5) / (n0 + 0.5)) for k in docs}
+        for f, bounds in mixing.BINS.items():
+            for k in docs:
+                v = known[k][0][f]
+                a, b = (sum(known[x][0][f] == v and y[x] == side for x in learnt) for side in (True, False))
+                own[k] += math.log((a + 1) / (n1 + len(bounds) + 1)) - math.log((b + 1) / (n0 + len(bounds) + 1))
+        chosen = []
+        for w in {w for k in learnt for w in known[k][1] if len(w) > 2}:
+            n, a = sum(w in known[k][1] for k in learnt), sum(w in known[k][1] and y[k] for k in learnt)
+            p1, p0 = (a + 0.5) / (n1 + 1), (n - a + 0.5) / (n0 + 1)
+            z = (p1 - p0) / math.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
+            rare = (p1 >= 3 * p0 and a >= mixing.LEAST_DOCS) if n1 <= n0 else (p0 >= 3 * p1 and n - a >= mixing.LEAST_DOCS)
+            if n >= mixing.LEAST_DOCS and rare and abs(z) >= mixing.LEAST_Z:
+                chosen.append((-round(abs(z), 9), w, p1, p0))
+        for _, w, p1, p0 in sorted(chosen)[: mixing.LEXICON]:
+            for k in docs:
+                own[k] += math.log(p1 / p0) if w in known[k][1] else math.log((1 - p1) / (1 - p0))
+        odds[c] = {k: max(-mixing.LIMIT, min(mixing.LIMIT, x)) for k, x in own.items()}
+    one = lambda x: 1 / (1 + math.exp(-x))
+    for k, r in found.items():
+        q, t = one(odds["quality"][k]), one(odds["toxic"][k])
+        assert [r[f"p_{d}"] for d in mixing.DOMAINS] == pytest.approx([(q if a else 1 - q) * (t if b else 1 - t) for a, b in mixing.DOMAINS.values()], abs=1e-6)
+
+
 def test_op8(spark, sf, docs):
     found = run(spark, sf, "op8_secret_scan")
     for k, d in docs.items():
