@@ -10,13 +10,17 @@ every link lies within a shard. Each shard's distinct fingerprints form a BK-tre
 distance to the parent); the shard's tree is held by the task that answers the shard's searches, and a search follows
 only edges within the radius of its distance to the node. A task emits no pairs: it walks from fingerprint to fingerprint,
 takes what it has reached out of the tree, and emits one link from each to the first of its group. A shard with
-more than SHARD_MOST fingerprints is dealt into chunks; each pair of chunks has a task of its own, so nothing is lost and
-no task grows. Local groups are then joined into components.
+more than SHARD_MOST fingerprints is cut again: its other bits make radius + 1 blocks, of which at least one is equal in a
+link, so each of these blocks and its value names a smaller shard. What is still larger is dealt into chunks; each pair of chunks
+has a task of its own, so nothing is lost and no task grows. Local groups are then joined into components.
+
+Trees are not broadcast: together they hold every fingerprint ten times, so they grow with the input, and broadcasting them a
+bounded batch at a time would read all fingerprints once for each batch. They are shuffled to where they are searched instead.
 
 Defined results: null and blank texts have fingerprint zero and are linked like any other; fewer than three words make
 one shingle; repeated rows and ids are each given their component; rows whose id is null are members, but name a
 component only if no member has an id (then it is null). Whole texts are read. Ties do not arise: half of the hashes is
-not over half.
+not over half. An empty table gives an empty result; columns beside id and text may have any name.
 """
 
 from __future__ import annotations
@@ -135,13 +139,31 @@ def local_links(codes: list[int], radius: int = RADIUS) -> Iterator[tuple[int, i
                 yield codes[j], code
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def cut(places: list[int], n: int) -> list[int]:
+    """Masks of n blocks of about equally many of the bits."""
+    edges = [len(places) * k // n for k in range(n + 1)]
+    return [sum(1 << p for p in places[a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def shard_masks(radius: int = RADIUS) -> list[int]:
+    """The bits that name a shard: all pairs of radius + 2 blocks."""
+    return [a | b for a, b in combinations(cut(list(range(64)), radius + 2), 2)]
+
+
 def shard_keys(fp: Column, radius: int = RADIUS) -> Column:
     """An array of shards: the number of the pair of blocks and the blocks' bits."""
-    n = radius + 2
-    edges = [64 * k // n for k in range(n + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return F.array(*(F.struct(F.lit(k).alias("p"), fp.bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("v")) for k, (i, j) in enumerate(combinations(range(n), 2))))
+    return F.array(*(F.struct(F.lit(k).alias("p"), fp.bitwiseAND(F.lit(signed(m))).alias("v")) for k, m in enumerate(shard_masks(radius))))
+
+
+def finer_keys(fp: Column, p: Column, radius: int = RADIUS) -> Column:
+    """An array of the parts of shard ``p``: the number of the third block, of the bits that don't name the shard, and its bits."""
+    blocks = [cut([k for k in range(64) if not m >> k & 1], radius + 1) for m in shard_masks(radius)]
+    masks = F.array(*(F.array(*(F.lit(signed(m)) for m in x)) for x in blocks))
+    return F.transform(F.element_at(masks, p + 1), lambda m, k: F.struct(k.alias("s"), fp.bitwiseAND(m).alias("w")))
 
 
 def _links(radius: int):
@@ -154,7 +176,7 @@ def _links(radius: int):
             a.clear(), b.clear()
             return pa.RecordBatch.from_arrays(made, ["a", "b"])
 
-        for _, (fps,) in sorted_groups(batches, 4):
+        for _, (fps,) in sorted_groups(batches, 6):
             if len(fps) > 1:
                 for x, y in local_links(fps.view(np.uint64).tolist(), radius):
                     a.append(x)
@@ -170,12 +192,17 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links between distinct fingerprints (column ``fp``) that have the components of all pairs within the radius."""
     keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("k")).select("fp", F.col("k.p").alias("p"), F.col("k.v").alias("v"))
     sizes = keyed.groupBy("p", "v").agg(F.count("*").alias("n")).where("n > 1")
+    sized = keyed.join(sizes, ["p", "v"])
+    small = sized.where(F.col("n") <= SHARD_MOST).select("p", "v", F.lit(-1).alias("s"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("x"), F.lit(0).alias("y"), "fp")
+    finer = sized.where(F.col("n") > SHARD_MOST).select("p", "v", "fp", F.explode(finer_keys(F.col("fp"), F.col("p"), radius)).alias("k")).select("p", "v", "k.s", "k.w", "fp")
+    parts = finer.groupBy("p", "v", "s", "w").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / SHARD_MOST).cast("int")
-    dealt = keyed.join(sizes, ["p", "v"]).select("p", "v", "fp", chunks.alias("c"), F.pmod(F.xxhash64("fp", F.lit("chunk")), chunks).cast("int").alias("own"))
+    dealt = finer.join(parts, ["p", "v", "s", "w"]).withColumn("c", chunks).withColumn("own", F.pmod(F.xxhash64("fp", F.lit("chunk")), "c").cast("int"))
     # every pair of chunks meets once; a shard of one chunk meets itself
     others = F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda o: o != F.col("own")))
-    paired = dealt.withColumn("o", F.explode(others)).select("p", "v", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "fp")
-    grouped = paired.repartition("p", "v", "x", "y").sortWithinPartitions("p", "v", "x", "y", "fp")
+    paired = dealt.withColumn("o", F.explode(others)).select("p", "v", "s", "w", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "fp")
+    keys = ("p", "v", "s", "w", "x", "y")
+    grouped = small.union(paired).repartition(*keys).sortWithinPartitions(*keys, "fp")
     return grouped.mapInArrow(_links(radius), "a bigint, b bigint")
 
 

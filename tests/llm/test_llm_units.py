@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphloom.llm import components, grammar, licences, media, op2, op4, quality_rules, secrets_scan, sentencepiece_codec, simhash, token_files, toxicity
 from glyphloom.llm.common import scratch_path
@@ -50,18 +51,36 @@ def test_tree_links(seed):
 
 
 def test_links_across_chunks(spark, monkeypatch):
-    """A shard of more fingerprints than a tree may hold loses no link."""
+    """A shard of more fingerprints than a tree may hold, cut by a third block and then into chunks, loses no link."""
     rnd = random.Random(1)
     centre = rnd.getrandbits(64)
     codes = sorted({centre ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(150)} | {rnd.getrandbits(64) for _ in range(50)})
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     fps = spark.createDataFrame([(c,) for c in signed], "fp long")
-    for most in (4096, 20):
+    for most in (4096, 60, 20, 3):
         monkeypatch.setattr(simhash, "SHARD_MOST", most)
         found = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.links(fps).collect()]
         assert groups_of(codes, found) == groups_by_force(codes, 3)
 
 
+def test_finer_keys(spark):
+    """Codes within the radius that share a shard share one of its parts."""
+    rnd = random.Random(2)
+    rows = []
+    for k in range(400):
+        a = rnd.getrandbits(64)
+        b = a
+        for place in rnd.sample(range(64), rnd.randint(0, 3)):
+            b ^= 1 << place
+        rows.append((k, simhash.signed(a), simhash.signed(b)))
+    pairs = spark.createDataFrame(rows, "k long, a long, b long").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    key = lambda c: simhash.shard_keys(F.col(c))[F.col("p")]["v"]
+    together = pairs.where(key("a") == key("b"))
+    assert together.select("k").distinct().count() == 400
+    finer = lambda c: simhash.finer_keys(F.col(c), F.col("p"))
+    assert together.where(F.arrays_overlap(finer("a"), finer("b"))).count() == together.count()
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(k, k + 1) for k in range(60)] + [(rnd.randrange(100, 200), rnd.randrange(100, 200)) for _ in range(70)] + [(300, k) for k in range(301, 330)] + [(7, 7), (None, 3)]
