@@ -10,7 +10,8 @@ Prediction covers every document and the whole of its text.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; so does every text if there is nothing
 to learn from. Ties go to the language that is first in order. Repeated rows get equal results. Long texts are bundled
-piece by piece, so memory doesn't grow with them. Input columns that clash with the result's are replaced.
+piece by piece, so memory doesn't grow with them. An empty table gives an empty one. Input columns that clash with the result's
+are replaced. A model holds one prototype for each distinct language; their number is taken to be that of languages.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SEED = 17
 UNKNOWN = "und"
 #: Code points bundled at a time.
 PIECE = 1 << 18
-#: n-gram vectors that a worker keeps; others are bound anew each time.
+#: n-gram vectors that a worker keeps.
 KEPT_NGRAMS = 60_000
 SCALE = 1 << 20
 
@@ -48,47 +49,43 @@ def letter_vector(code: int) -> np.ndarray:
     return (rng.integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
-def bind(code: int) -> np.ndarray:
-    """The vector of an n-gram, given as its code points packed 21 bits each, the first one highest."""
-    out = np.ones(DIM, dtype=np.int8)
+def bind(codes: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams, given as their code points packed 21 bits each, the first one highest."""
+    out = np.ones((len(codes), DIM), dtype=np.int8)
     for place in range(N):
-        letter = (code >> (21 * place)) & 0x1FFFFF
-        out = out * np.roll(letter_vector(letter), place)
+        letters, which = np.unique((codes >> np.uint64(21 * place)) & np.uint64(0x1FFFFF), return_inverse=True)
+        out *= np.stack([np.roll(letter_vector(int(c)), place) for c in letters])[which]
     return out
 
 
 class NgramMemory:
-    """The vectors of the n-grams seen so far, up to KEPT_NGRAMS of them."""
+    """The vectors of n-grams seen lately. When KEPT_NGRAMS are held, they are dropped for those that come next."""
 
     def __init__(self) -> None:
         self.rows: dict[int, int] = {}
         self.table = np.empty((1024, DIM), dtype=np.int8)
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of the n-grams' vectors; the numbers are whole, so their order changes nothing."""
         out = np.zeros(DIM, dtype=np.float64)
-        places = np.empty(len(codes), dtype=np.int64)
-        for k, code in enumerate(codes.tolist()):
-            at = self.rows.get(code)
-            if at is None:
-                at = self._add(code)
-                if at < 0:
-                    out += bind(code) * float(counts[k])
-            places[k] = at
-        known = places >= 0
-        places, counts = places[known], counts[known].astype(np.float32)
-        for a in range(0, len(places), 4096):
-            out += counts[a : a + 4096] @ self.table[places[a : a + 4096]].astype(np.float32)
+        for a in range(0, len(codes), 4096):
+            some, n = codes[a : a + 4096], counts[a : a + 4096].astype(np.float32)
+            places = self.places(some)
+            out += n @ self.table[places].astype(np.float32)
         return out
 
-    def _add(self, code: int) -> int:
-        at = len(self.rows)
-        if at >= KEPT_NGRAMS:
-            return -1
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[at] = bind(code)
-        self.rows[code] = at
-        return at
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        keys = codes.tolist()
+        if any(k not in self.rows for k in keys):
+            new = [k for k in keys if k not in self.rows]
+            if len(self.rows) + len(new) > KEPT_NGRAMS:
+                self.rows, new = {}, keys
+            a, b = len(self.rows), len(self.rows) + len(new)
+            if b > len(self.table):
+                self.table = np.concatenate([self.table, np.empty((max(b, 2 * len(self.table)) - len(self.table), DIM), dtype=np.int8)])
+            self.table[a:b] = bind(np.array(new, dtype=np.uint64))
+            self.rows.update(zip(new, range(a, b), strict=True))
+        return np.fromiter(map(self.rows.__getitem__, keys), dtype=np.int64, count=len(keys))
 
 
 @cache

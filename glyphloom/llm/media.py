@@ -2,11 +2,13 @@
 
 A container is a tree of boxes: size (4 bytes), type (4 bytes), content; size 1 means that 8 bytes of size follow the
 type, size 0 that the box reaches to the end of what holds it. ``mux`` stores a payload as samples of a raw track, and
-``inspect`` walks the nested boxes of any such file, decodes the sample tables (durations, sizes, chunks, offsets, sync
-samples) and gives codec, duration and the byte range of every keyframe. Payload bytes are only copied, never decoded.
+``inspected`` walks the nested boxes of any such file, decodes the sample tables (durations, sizes, chunks, offsets, sync
+samples) and the runs of its fragments, and gives codec, duration and the byte range of every keyframe of every track. Payload
+bytes are only copied, never decoded.
 
-Defined results: null counts as the empty payload, which is padded to one sample; equal payloads give equal bytes;
-a media value that is null or no container gives a feature of nulls with ``error`` set; repeated rows are stored each.
+Defined results: null counts as the empty payload, which is padded to one sample; equal payloads give equal bytes, so there are no
+ties; a media value that is null or no container gives a feature of nulls with ``error`` set; repeated rows are stored each; an
+empty table gives an empty one; whole texts are stored, one at a time in memory; columns beside the text may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.llm.common import strings
 
-#: Bytes of one stored sample, samples of one chunk, chunks between keyframes, and ticks of a second.
+#: Bytes of one stored sample, samples of one chunk, samples from keyframe to keyframe, and ticks of a second.
 SAMPLE_BYTES = 192
 CHUNK_SAMPLES = 8
 KEYFRAME_EVERY = 16
@@ -124,16 +126,17 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
 
 
 def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Path, start and end of every box's content, parents before children."""
-    todo = [((), 0, len(data))]
+    """Path, start and end of every box's content, each followed by those within it."""
+    todo = [((), boxes(data, 0, len(data)))]
     while todo:
-        path, a, b = todo.pop()
-        inner = []
-        for kind, x, y in boxes(data, a, b):
+        path, rest = todo[-1]
+        for kind, x, y in rest:
             yield (*path, kind), x, y
             if kind in CONTAINERS:
-                inner.append(((*path, kind), x, y))
-        todo.extend(reversed(inner))
+                todo.append(((*path, kind), boxes(data, x, y)))
+                break
+        else:
+            todo.pop()
 
 
 def _table(data: memoryview, at: int, end: int, count: int, kind: str, width: int = 1) -> np.ndarray:
@@ -143,12 +146,27 @@ def _table(data: memoryview, at: int, end: int, count: int, kind: str, width: in
     return np.frombuffer(data, dtype=item, count=count * width, offset=at).astype(np.int64).reshape(-1, width) if width > 1 else np.frombuffer(data, dtype=item, count=count, offset=at).astype(np.int64)
 
 
+def sample_sizes(data: memoryview, found: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """Of the plain table, or of the compact one, whose sizes have 4, 8 or 16 bits."""
+    if b"stsz" in found or b"stz2" not in found:
+        a, end = found[b"stsz"]
+        fixed, n = struct.unpack_from(">II", data, a + 4)
+        return np.full(n, fixed, dtype=np.int64) if fixed else _table(data, a + 12, end, n, ">u4")
+    a, end = found[b"stz2"]
+    bits, n = struct.unpack_from(">II", data, a + 4)
+    if bits == 4:
+        pairs = _table(data, a + 12, end, (n + 1) // 2, ">u1")
+        return np.stack([pairs >> 4, pairs & 15], axis=1).reshape(-1)[:n]
+    if bits not in (8, 16):
+        raise NotAContainer("sample sizes of an unknown width")
+    return _table(data, a + 12, end, n, ">u1" if bits == 8 else ">u2")
+
+
 def sample_table(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict[str, np.ndarray]:
     """Size, byte offset and duration of every sample, and the numbers (from 0) of those that are keyframes."""
     try:
-        a, end = found[b"stsz"]
-        fixed, n = struct.unpack_from(">II", data, a + 4)
-        sizes = np.full(n, fixed, dtype=np.int64) if fixed else _table(data, a + 12, end, n, ">u4")
+        sizes = sample_sizes(data, found)
+        n = len(sizes)
         wide = b"co64" in found
         a, end = found[b"co64" if wide else b"stco"]
         starts = _table(data, a + 8, end, struct.unpack_from(">I", data, a + 4)[0], ">u8" if wide else ">u4")
@@ -175,11 +193,75 @@ def sample_table(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict[
     return {"sizes": sizes, "offsets": offsets, "ticks": np.repeat(times[:, 1], times[:, 0]), "keys": keys}
 
 
+#: Flags of a fragment's header and of its runs of samples, and of a sample that is no keyframe. Fixed values of the format.
+BASE_GIVEN, DESCRIPTION_GIVEN, TICKS_GIVEN, SIZE_GIVEN, FLAGS_GIVEN, BASE_IS_FRAGMENT = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+OFFSET_IN_RUN, FIRST_FLAGS_IN_RUN, TICKS_IN_RUN, SIZES_IN_RUN, FLAGS_IN_RUN, SHIFTS_IN_RUN = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NO_KEYFRAME = 0x10000
+
+
+def run_of_samples(data: memoryview, a: int, end: int, at: int, base: int, defaults: tuple[int, int, int]) -> dict[str, np.ndarray]:
+    """The samples of one run; ``at`` is where they begin unless the run says so itself."""
+    flags = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF
+    (n,) = struct.unpack_from(">I", data, a + 4)
+    a += 8
+    if flags & OFFSET_IN_RUN:
+        at = base + struct.unpack_from(">i", data, a)[0]
+        a += 4
+    first = None
+    if flags & FIRST_FLAGS_IN_RUN:
+        (first,) = struct.unpack_from(">I", data, a)
+        a += 4
+    given = [flags & f for f in (TICKS_IN_RUN, SIZES_IN_RUN, FLAGS_IN_RUN, SHIFTS_IN_RUN)]
+    width = sum(map(bool, given))
+    columns = iter(_table(data, a, end, n, ">u4", width).reshape(n, width).T if width and n else np.zeros((width, n), np.int64))
+    ticks, sizes, own = (next(columns) if g else np.full(n, d, np.int64) for g, d in zip(given, defaults))
+    if first is not None and n and not given[2]:
+        own[0] = first
+    offsets = at + np.cumsum(sizes) - sizes
+    if n and (offsets[0] < 0 or int((offsets + sizes).max()) > len(data)):
+        raise NotAContainer("a sample lies outside the file")
+    return {"sizes": sizes, "offsets": offsets, "ticks": ticks, "keys": np.flatnonzero(own & NO_KEYFRAME == 0), "end": at + int(sizes.sum())}
+
+
+def fragments(data: memoryview, defaults: dict[int, tuple[int, int, int]]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Track and samples of every run of every fragment, in the order of the file."""
+    for kind, x, y in boxes(data, 0, len(data)):
+        if kind != b"moof":
+            continue
+        start = x - 8 if bytes(data[x - 4 : x]) == b"moof" else x - 16
+        at = start
+        for inner, a, b in boxes(data, x, y):
+            if inner != b"traf":
+                continue
+            track, base, own = 0, at, (0, 0, 0)
+            for k, c, end in boxes(data, a, b):
+                if k == b"tfhd":
+                    flags, track = struct.unpack_from(">II", data, c)
+                    own, c = list(defaults.get(track, (0, 0, 0))), c + 8
+                    if flags & BASE_GIVEN:
+                        (base,) = struct.unpack_from(">Q", data, c)
+                    elif flags & BASE_IS_FRAGMENT:
+                        base = start
+                    c += 8 * bool(flags & BASE_GIVEN) + 4 * bool(flags & DESCRIPTION_GIVEN)
+                    for i, f in enumerate((TICKS_GIVEN, SIZE_GIVEN, FLAGS_GIVEN)):
+                        if flags & f:
+                            (own[i],) = struct.unpack_from(">I", data, c)
+                            c += 4
+                    at = base
+                elif k == b"trun":
+                    run = run_of_samples(data, c, end, at, base, tuple(own))
+                    at = run.pop("end")
+                    yield track, run
+
+
 def tracks(media: bytes) -> list[dict]:
-    """Codec, timescale, duration and sample table of each track."""
-    data, out = memoryview(media), []
+    """Codec, timescale, duration and samples of each track, those of fragments after those of its sample table."""
+    data, out, defaults = memoryview(media), [], {}
     for path, a, b in walk(data):
-        if path[-1] == b"trak":
+        if path[-1] == b"trex":
+            track, _, *own = struct.unpack_from(">5I", data, a + 4)
+            defaults[track] = tuple(own)
+        elif path[-1] == b"trak":
             out.append({"boxes": {}})
         elif out and b"trak" in path:
             out[-1]["boxes"].setdefault(path[-1], (a, b))
@@ -196,7 +278,19 @@ def tracks(media: bytes) -> list[dict]:
         except (KeyError, struct.error) as e:
             raise NotAContainer(f"a track lacks its header: {e}") from None
         t |= sample_table(data, found)
+        a, _ = found.get(b"tkhd", (0, 0))
+        t["id"] = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0] if a else 0
         del t["boxes"]
+    runs: dict[int, list[dict]] = {}
+    for track, run in fragments(data, defaults):
+        runs.setdefault(track, []).append(run)
+    for t in out:
+        if more := runs.get(t["id"]):
+            whole = [t, *more]
+            before = np.cumsum([0, *(len(r["sizes"]) for r in whole[:-1])])
+            t["keys"] = np.concatenate([r["keys"] + n for r, n in zip(whole, before, strict=True)])
+            t |= {c: np.concatenate([r[c] for r in whole]) for c in ("sizes", "offsets", "ticks")}
+            t["duration"] = max(t["duration"], int(t["ticks"].sum()))
     return out
 
 
@@ -241,13 +335,16 @@ def stored(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 INSPECTED = (
     "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, codec string, "
-    "seconds double, samples bigint, keyframes bigint, keyframe_ranges array<array<bigint>>, error string"
+    "seconds double, samples bigint, keyframes bigint, keyframe_ranges array<array<bigint>>, "
+    "tracks array<struct<codec:string,seconds:double,samples:bigint,keyframes:bigint,keyframe_ranges:array<array<bigint>>>>, error string"
 )
 
 
 def inspected(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str = "media") -> DataFrame:
-    """``keep`` columns with what ``inspect`` finds in the media column: digests of the payload and the index of keyframes."""
-    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.int64()), ("keyframe_ranges", pa.list_(pa.list_(pa.int64()))), ("error", pa.string())]
+    """``keep`` columns with what is found in the media column: digests of the first track's payload, its index of keyframes, and the
+    same index of every track."""
+    one = pa.struct([("codec", pa.string()), ("seconds", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.int64()), ("keyframe_ranges", pa.list_(pa.list_(pa.int64())))])
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.int64()), ("keyframe_ranges", pa.list_(pa.list_(pa.int64()))), ("tracks", pa.list_(one)), ("error", pa.string())]
 
     @F.arrow_udf(INSPECTED)
     def run(column: pa.Array) -> pa.Array:
@@ -255,16 +352,17 @@ def inspected(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str
         for m in column:
             data = m.as_py()
             if data is None:
-                rows.append((None,) * 10 + ("null",))
+                rows.append((None,) * 11 + ("null",))
                 continue
             own = (len(data), hashlib.sha256(data).hexdigest())
             try:
-                track = tracks(data)[0]
-                payload, f = payload_of(data, track), feature(track)
+                known = tracks(data)
+                payload, found = payload_of(data, known[0]), [feature(t) for t in known]
             except (NotAContainer, struct.error) as e:
-                rows.append((None, None, None, *own, None, None, None, None, None, str(e)))
+                rows.append((None, None, None, *own, None, None, None, None, None, None, str(e)))
                 continue
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *own, f["codec"], f["seconds"], f["samples"], f["keyframes"], f["ranges"], None))
+            index = [tuple(f[c] for c in ("codec", "seconds", "samples", "keyframes", "ranges")) for f in found]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *own, *index[0], [dict(zip(one.names, x, strict=True)) for x in index], None))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 

@@ -14,7 +14,7 @@ import regex
 import xxhash
 
 import corpus_pipeline
-from glyphloom.llm import media, mixing, op2, op4, secrets_scan
+from glyphloom.llm import language_id, media, mixing, op2, op4, secrets_scan
 from glyphloom.llm.common import materialise
 from glyphloom.llm.queries import QUERIES, SQL
 from tests.compare import same, tables
@@ -96,6 +96,9 @@ def test_op3(spark, sf, docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         stored = media.mux(payload)
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        n, at = len(payload) // 192, stored.index(payload)
+        ranges = ",".join(f"{at + 192 * i}-{at + 192 * i + 192}" for i in range(0, n, media.KEYFRAME_EVERY))
+        assert r.feature == f"codec=raw;seconds={n * 192 / 48000:.6f};samples={n};keyframes={-(-n // 16)};ranges={ranges}"
 
 
 def test_op4(spark, sf, docs):
@@ -229,6 +232,50 @@ def test_op10(spark, sf):
     assert sum(a == b for a, b in held) >= 0.98 * len(held)
 
 
+def test_op10_by_definition(spark, sf, docs):
+    """Predictions against profiles that are bound and bundled letter by letter."""
+    letters = {}
+
+    def vector(c, place):
+        return letters.setdefault((c, place), np.roll(language_id.letter_vector(ord(c)), place).astype(np.int64))
+
+    def profile(text):
+        if not text or not any(c.isalpha() for c in text):
+            return None
+        low = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+        grams = Counter(low[i : i + 3] for i in range(len(low) - 2))
+        out = sum(n * vector(g[2], 0) * vector(g[1], 1) * vector(g[0], 2) for g, n in grams.items())
+        return out / np.linalg.norm(out)
+
+    own = {k: profile(d.text) for k, d in docs.items()}
+    sums = {}
+    for k, d in docs.items():
+        if zlib.crc32(str(k).encode()) % 5 and d.lang is not None and own[k] is not None:
+            sums[d.lang] = sums.get(d.lang, 0) + np.round(own[k] * language_id.SCALE)
+    names = sorted(sums)
+    rows = np.stack([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    mean = rows.mean(axis=0)
+    rows = (rows - mean) / np.linalg.norm(rows - mean, axis=1, keepdims=True)
+    for k, r in run(spark, sf, "op10_language_id").items():
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+        if own[k] is None:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cosines = rows @ (own[k] - mean) / np.linalg.norm(own[k] - mean)
+        best = int(np.argmax(cosines))
+        assert r.score == pytest.approx(max(0, cosines[best]), abs=1e-6) and (r.lang_pred == names[best] or abs(cosines[best] - cosines[names.index(r.lang_pred)]) < 1e-6)
+
+
+def test_op10_small_memory(monkeypatch):
+    """What is dropped from the memory is bound again to the same vectors."""
+    text = "".join(chr(0x4E00 + (k * 7919) % 20_000) for k in range(12_000)) + " and some plain words"
+    wanted = language_id.encode(text)
+    monkeypatch.setattr(language_id, "KEPT_NGRAMS", 5000)
+    language_id.memory.cache_clear()
+    assert np.array_equal(language_id.encode(text), wanted)
+    language_id.memory.cache_clear()
+
+
 def test_pipeline(spark, sf):
     """Each stage on its predecessor's rows against brute force or the operator's own library, and the whole run."""
     import sentencepiece

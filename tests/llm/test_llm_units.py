@@ -234,6 +234,43 @@ def test_container():
                 media.tracks(stored[:cut])
 
 
+def track_boxes(track, codec, table):
+    """A track box with the given sample table."""
+    box, full = media.box, media.full_box
+    entry = box(codec, bytes(6), struct.pack(">H", 1), bytes(20))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(20)), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), entry), *table)))
+    return box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, track, 0, 0), bytes(60)), mdia)
+
+
+def test_fragments_and_compact_sizes():
+    """Two tracks: one of fragments, with defaults, own sizes and flags, and one whose sizes are 4-bit numbers."""
+    box, full = media.box, media.full_box
+    none = [full(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")] + [full(b"stsz", struct.pack(">II", 0, 0))]
+    body = bytes(range(60))
+    head = box(b"ftyp", b"isom", bytes(4))
+
+    def whole(at):
+        small = [full(b"stts", struct.pack(">III", 1, 3, 5)), full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)), full(b"stco", struct.pack(">II", 1, at + 50)), full(b"stz2", struct.pack(">II", 4, 3), bytes([0x12, 0x30]))]
+        trex = full(b"trex", struct.pack(">5I", 7, 1, 10, 4, 0x10000))
+        moov = box(b"moov", track_boxes(7, b"avc1", none), track_boxes(8, b"mp4a", small), box(b"mvex", trex))
+        runs = full(b"trun", struct.pack(">IiI", 3, at, 0), flags=0x1 | 0x4) + full(b"trun", struct.pack(">I", 2) + struct.pack(">IIII", 5, 0x10000, 6, 0), flags=0x200 | 0x400)
+        second = full(b"trun", struct.pack(">I", 1), flags=0)
+        first = box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">IQ", 7, 0), flags=0x1), runs))
+        return head + moov + first + box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">IQI", 7, at + 30, 9), flags=0x1 | 0x8), second)) + box(b"mdat", body)
+
+    at = len(whole(0)) - len(body)
+    data = whole(at)
+    video, sound = media.tracks(data)
+    assert (video["codec"], sound["codec"]) == ("avc1", "mp4a")
+    assert video["sizes"].tolist() == [4, 4, 4, 5, 6, 4] and video["ticks"].tolist() == [10] * 5 + [9] and video["duration"] == 59
+    assert (video["offsets"] - at).tolist() == [0, 4, 8, 12, 17, 30] and video["keys"].tolist() == [0, 4]
+    assert media.payload_of(data, video) == body[:23] + body[30:34]
+    assert sound["sizes"].tolist() == [1, 2, 3] and (sound["offsets"] - at).tolist() == [50, 51, 53] and sound["keys"].tolist() == [0, 1, 2]
+    assert media.feature(video)["ranges"] == [[at, at + 4], [at + 17, at + 23]]
+    with pytest.raises(media.NotAContainer):
+        media.tracks(data[: -len(body)] + body[:20])
+
+
 def test_suffix_automaton():
     """Matching statistics, and every place where an end of the matched passage ends, against all passages."""
     rnd = random.Random(3)
