@@ -188,31 +188,30 @@ def charset_by_lang(spark, sf):
 
 
 SETS = charsets.registry()
-SMALL = {k: v for k, v in SETS.items() if len(v) <= 800}
 
 
 def literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-SETS_SQL = ", ".join(f"({literal(k)}, {literal(v)})" for k, v in sorted(SMALL.items()))
+SETS_SQL = ", ".join(f"({literal(k)}, {literal(v)})" for k, v in sorted(SETS.items()))
 SET_ROWS = f"""sets AS (SELECT * FROM (VALUES {SETS_SQL}) t(name, chars)), rows AS (
   SELECT name, unnest(range(len(a))) AS pos, unnest(a) AS ch FROM (SELECT name, string_split(chars, '') AS a FROM sets))"""
 
 
 @query(f"WITH {SET_ROWS} SELECT name, CAST(pos AS INTEGER) AS pos, ch FROM rows")
 def vocab_table(spark, sf):
-    return charsets.table(spark, SMALL)
+    return charsets.table(spark, SETS)
 
 
 @query(f"WITH {SET_ROWS} SELECT name, count(*) AS n FROM rows GROUP BY name")
 def vocab_sizes(spark, sf):
-    return charsets.table(spark, SMALL).groupBy("name").agg(F.count("*").alias("n"))
+    return charsets.table(spark, SETS).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SET_ROWS} SELECT name, ch, count(*) AS n FROM rows GROUP BY name, ch HAVING count(*) > 1")
 def vocab_duplicates(spark, sf):
-    return charsets.duplicates(charsets.table(spark, SMALL))
+    return charsets.duplicates(charsets.table(spark, SETS))
 
 
 LESS = sorted((n, less, more) for n, (less, more) in charsets.LATIN.items() if less)
@@ -232,7 +231,7 @@ def vocab_replace(spark, sf):
     return spark.range(1).select(F.replace(F.lit(SETS["russian"]), F.lit("₽"), F.lit("")).alias("chars"))
 
 
-JOINED = SETS["english"] + "".join(SETS[n] for n in charsets.LATIN)
+JOINED = charsets.joined(SETS)
 
 
 @query(f"""SELECT ch, min(pos) AS pos FROM (SELECT unnest(range(len(a))) AS pos, unnest(a) AS ch FROM (SELECT string_split({literal(JOINED)}, '') AS a)) GROUP BY ch""")
@@ -246,7 +245,7 @@ SELECT lang, name, count(*) AS n_covered FROM used JOIN rows USING (ch) GROUP BY
 def vocab_coverage_of_documents(spark, sf):
     used = read(spark, sf, "documents").select("lang", F.explode(text.charset(F.col("text"))).alias("ch")).distinct()
     # The registry's size is fixed.
-    return used.join(F.broadcast(charsets.table(spark, SMALL)), "ch").groupBy("lang", "name").agg(F.count("*").alias("n_covered"))
+    return used.join(F.broadcast(charsets.table(spark, SETS)), "ch").groupBy("lang", "name").agg(F.count("*").alias("n_covered"))
 
 
 INLINE = {"ascii.ttf": SETS["latin"] + " ", "french.ttf": SETS["french"] + " ", "letters.ttf": SETS["ascii_letters"] + " .,", "german.otf": SETS["german"] + " "}
