@@ -23,7 +23,7 @@ import re
 import struct
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -235,7 +235,10 @@ class Codec:
         if self._map is not None:
             mapped = self._map.normalize_str
             text = mapped(text) if self.cuts is None else "".join(p if k % 2 else mapped(p) for k, p in enumerate(self.cuts.split(text)))
-        return self.marking.normalize_str(text)
+        if self.model.drop_extra_space:
+            return self.marking.normalize_str(text)
+        # What ``marking`` does where no space goes; a tenth of the encoding's time is saved.
+        return (MARKER if self.model.dummy_prefix and text else "") + text.replace(" ", MARKER)
 
     def units(self, normal: str) -> list[str]:
         """The normalised text cut before each run of markers."""
@@ -256,21 +259,34 @@ class Codec:
                 out += [np.array(x, dtype=self.dtype) for x in self._encode_batch(normal)]
         return out
 
+    @cached_property
+    def adds(self) -> list[bytes]:
+        """What each piece adds to a decoded text: by the library's decoder, once for each, or the byte that it stands for."""
+        of = self.tokenizer.decoder.decode
+        byte = {k: bytes([b]) for b, k in self.bytes_of.items()}
+        return [byte[k] if k in byte else b"" if k in self.silent else of([name]).encode() for k, name in enumerate(self.names)]
+
     def decode(self, ids) -> str:
-        """The text of the ids, by the library's decoder, without the marker that stands for the dummy prefix.
+        """The text of the ids, without the marker that stands for the dummy prefix.
 
-        Models that drop extra spaces take one marker from each piece before the text begins.
+        Models that drop extra spaces take one marker from each piece before the text begins. Where bytes are no UTF-8, the
+        library's decoder gets all pieces of the text.
         """
         ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
-        if self.silent and not self.silent.isdisjoint(ids):
-            ids = [k for k in ids if k not in self.silent]
-        pieces = list(map(self.names.__getitem__, ids))
+        taken = 0
         if self.model.dummy_prefix or self.model.drop_extra_space:
-            for k, p in enumerate(pieces):
-                pieces[k] = p.removeprefix(MARKER)
-                if pieces[k] or not self.model.drop_extra_space:
+            for k in ids:
+                if k in self.silent:
+                    continue
+                name = self.names[k]
+                taken += name.startswith(MARKER)
+                if name != MARKER or not self.model.drop_extra_space:
                     break
-        return self.tokenizer.decoder.decode(pieces)
+        try:
+            text = b"".join(map(self.adds.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            text = self.tokenizer.decoder.decode([self.names[k] for k in ids if k not in self.silent])
+        return text[taken:]
 
 
 @lru_cache(maxsize=4)

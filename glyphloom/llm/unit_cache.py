@@ -7,10 +7,9 @@ young one is full it becomes the old one, whose entries move back as they are us
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
 #: Units in a generation, longest unit that is kept, and characters of units encoded in one call.
 GENERATION = 120_000
 LONGEST = 64
@@ -21,13 +20,12 @@ class UnitCache:
     """``encode`` maps a list of distinct units to their ids, each a sequence of integers."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], kind: str) -> None:
-        self.encode, self.kind = encode, np.dtype(kind)
+        self.encode, self.code = encode, {"<u2": "H", "<u4": "I"}[kind]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def fill(self, units: set[str]) -> dict[str, bytes]:
-        """Makes sure that all units are known; the result has those that are too long to be kept."""
-        missing = units - self.young.keys()
+    def fill(self, missing: set[str]) -> dict[str, bytes]:
+        """Makes sure that units which aren't young are known; the result has those that are too long to be kept."""
         if not missing:
             return {}
         old = self.old
@@ -50,19 +48,19 @@ class UnitCache:
     def _encode(self, units: list[str], large: dict[str, bytes]) -> None:
         if units:
             for u, ids in zip(units, self.encode(units), strict=True):
-                (self.young if len(u) <= LONGEST else large)[u] = np.array(ids, dtype=self.kind).tobytes()
+                (self.young if len(u) <= LONGEST else large)[u] = array(self.code, ids).tobytes()
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of texts that are given as their units, each text's as one array of bytes."""
-        distinct: set[str] = set()
+        young = self.young
+        missing: set[str] = set()
         for units in texts:
-            distinct.update(units)
-        large = self.fill(distinct)
-        if large:
-            get = lambda u: self.young.get(u) or large.get(u, b"")
-        else:
-            get = self.young.__getitem__
-        out = [b"".join(map(get, units)) for units in texts]
+            missing.update([u for u in units if u not in young])
+        large = self.fill(missing)
+        young.update(large)
+        out = [b"".join(map(young.__getitem__, units)) for units in texts]
+        for u in large:
+            del young[u]
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
         return out

@@ -212,6 +212,7 @@ def test_rebuilt_models(tmp_path, kind, byte_fallback, dummy, extra, mapped, own
     texts = sp_texts(3)
     differing = sentencepiece_codec.parity(path, texts)
     c, theirs = sentencepiece_codec.codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert mapped or own or all(c.normalise(t) == c.marking.normalize_str(t) for t in texts)
     for k in differing:  # the same pieces in another order have the same score
         assert kind == sentencepiece_codec.UNIGRAM and sorted(c.encode([texts[k]])[0].tolist()) == sorted(theirs.encode(texts[k]))
     assert len(differing) < 0.01 * len(texts)
