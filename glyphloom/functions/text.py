@@ -12,8 +12,8 @@ BREAK = "\r\n|\r|\n"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends, as str.strip() does it."""
-    return F.regexp_replace(text, f"^{CLASS}+|{CLASS}+$", "")
+    """Without white space at both ends, as str.strip() does it. Only the ends are looked at."""
+    return F.trim(text, F.lit("".join(chr(p) for a, b in SPACES for p in range(a, b + 1))))
 
 
 def strip_sql(text: str) -> str:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from glyphloom.config import GenerationConfig
 from glyphloom.functions import charsets, draws, text
 from glyphloom.operators import backgrounds, fonts, splitter, visibility
 from glyphloom.plans import generate
+from glyphloom.raster import image
 from glyphloom.sources import binary, sinks, wordlist
 from glyphloom.storage import kept, shared_dir, with_index
 
@@ -360,6 +364,18 @@ def perspective_corners(spark, sf):
     return read(spark, sf, "orders").select(KEY, *(draws.integer(-MARGIN, MARGIN, SEED, f"corner{k}", KEY).alias(f"d{k}") for k in range(8)))
 
 
+@query(f"SELECT {KEY}, 0.0 AS residual FROM orders")
+def perspective_residual(spark, sf):
+    """How far, to six decimals, the solved warp takes the moved corners from the image's own."""
+    rows = perspective_corners(spark, sf).join(perspective_coeffs(spark, sf), KEY)
+    worst = F.lit(0.0)
+    for k, (u, v) in enumerate([(0, 0), (100, 0), (100, 40), (0, 40)]):
+        x, y = F.col(f"d{2 * k}") + u, F.col(f"d{2 * k + 1}") + v
+        below = F.col("c6") * x + F.col("c7") * y + 1
+        worst = F.greatest(worst, F.abs((F.col("c0") * x + F.col("c1") * y + F.col("c2")) / below - u), F.abs((F.col("c3") * x + F.col("c4") * y + F.col("c5")) / below - v))
+    return rows.select(KEY, (F.round(worst, 6) + 0.0).alias("residual"))
+
+
 @query()
 def perspective_coeffs(spark, sf):
     """The eight numbers of each order's warp of a 100 by 40 image; the residual of its corners is tested to be zero."""
@@ -396,9 +412,9 @@ def visibility_predicate(spark, sf):
 @query(f"""SELECT {KEY}, coalesce(min(attempt) FILTER (u < 0.4), -1) AS attempt FROM (SELECT {KEY}, attempt, {draws.sql(SEED, 'visible', KEY, 'attempt')} AS u
 FROM orders, range(5) r(attempt)) GROUP BY {KEY}""")
 def retry_first_visible(spark, sf):
-    rows = read(spark, sf, "orders").select(KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("attempt"))
-    seen = draws.uniform(SEED, "visible", KEY, "attempt") < 0.4
-    return rows.groupBy(KEY).agg(F.coalesce(F.min(F.when(seen, F.col("attempt"))), F.lit(-1).cast("bigint")).alias("attempt"))
+    attempts = F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))
+    seen = F.filter(attempts, lambda a: draws.uniform(SEED, "visible", KEY, a) < 0.4)
+    return read(spark, sf, "orders").select(KEY, F.coalesce(F.get(seen, F.lit(0)), F.lit(-1).cast("bigint")).alias("attempt"))
 
 
 PICTURES = [(0, 640, 480), (1, 100, 30), (2, 90, 90), (3, 60, 20)]
@@ -461,8 +477,8 @@ def label_manifest(spark, sf):
 
 @query(f"WITH {RESULTS_SQL} SELECT split, count(*) FILTER (success) AS n_labels, min(filename) FILTER (success) AS first_name FROM results GROUP BY split")
 def label_map_sizes(spark, sf):
-    maps = sinks.label_map(_results(spark, sf))
-    return maps.select("split", F.size("labels").cast("bigint").alias("n_labels"), F.array_min(F.map_keys("labels")).alias("first_name"))
+    maps = sinks.label_map(_results(spark, sf), 500)
+    return maps.groupBy("split").agg(F.sum(F.size("labels")).alias("n_labels"), F.min(F.array_min(F.map_keys("labels"))).alias("first_name"))
 
 
 @query()
@@ -472,10 +488,6 @@ def font_charsets(spark, sf):
     return support.select(F.regexp_extract("font_path", "[^/]+$", 0).alias("font"), F.size("chars").alias("n_chars"), "error")
 
 
-def _config(n: int) -> GenerationConfig:
-    return GenerationConfig(wordlist_path="", font_dir=FONT_DIR, output_dir=OUT, num_images=n, seed=SEED)
-
-
 @query()
 def font_match_real(spark, sf):
     """Every distinct line and how many of the real fonts cover it."""
@@ -484,35 +496,52 @@ def font_match_real(spark, sf):
     return fonts.candidates(rows, chars).select("word", F.size("candidates").alias("n_fonts"))
 
 
-def _short_words(spark, sf):
-    """A word list of single words: the distinct names and classes of the small tables."""
-    columns = [("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("part", "p_brand"), ("orders", "o_orderpriority"), ("events", "event_type")]
-    every = [read(spark, sf, t).select(F.col(c).alias("word")).distinct() for t, c in columns]
-    rows = every[0]
-    for more in every[1:]:
-        rows = rows.union(more)
-    return kept(with_index(rows.distinct(), [F.col("word")]), "words")
+def _word_file(spark, sf) -> str:
+    """The distinct words of all texts of ``benchmark`` as a word list in the shared folder, and beside it a folder of backgrounds."""
+    words = read(spark, sf, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("value")).where("value <> ''").distinct()
+    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    words.sort("value").write.text(path)
+    return path
+
 
+def _pictures(spark) -> str:
+    """Three backgrounds in a folder that all machines reach: flat, a slope, and one that is too small for most words."""
+    y, x = np.mgrid[0:120, 0:900]
+    made = {"flat": np.full((90, 800, 3), 200), "slope": np.dstack([x % 256, y, 255 - y]), "small": np.full((30, 40, 3), 90)}
+    folder = f"{shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    for name, picture in made.items():
+        with store.open_output_stream(f"{root}/{name}.png") as f:
+            f.write(image.png(picture.astype(np.uint8)))
+    return folder
 
-def _rendered(spark, sf, n):
-    config = _config(n)
-    rows = kept(splitter.split_words(_short_words(spark, sf), n, config.val_percent, SEED), "rows")
-    own = kept(binary.fonts(spark, FONT_DIR), "fonts")
-    return generate.render(generate.plan(rows, binary.font_support(own), config), own, config)
+
+def _run(spark, sf) -> tuple[str, DataFrame]:
+    """A run over all words, as many images as there are words, with its folder and its summary."""
+    path, out = _word_file(spark, sf), f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    n = wordlist.read(spark, path).count()
+    config = GenerationConfig(wordlist_path=path, font_dir=FONT_DIR, output_dir=out, num_images=n, bg_image_dir=_pictures(spark), seed=SEED)
+    return out, generate.generate(spark, config)
 
 
 @query()
 def render_images(spark, sf):
-    """Images of 300 rows of words and of the words that a split lacks: sizes and digests of the PNGs."""
-    made = _rendered(spark, sf, 300)
-    return made.select("split", "idx", "filename", "word", "success", "error", "width", "height", F.sha2("png", 256).alias("png_sha256"))
+    """The images of a run over all words of ``benchmark``, as they lie in its folder: names, sizes and digests of the files."""
+    out, _ = _run(spark, sf)
+    files = spark.read.format("binaryFile").load([f"{out}/{s}/images" for s in splitter.SPLITS])
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    names = F.regexp_extract("path", "([^/]+)/images/([^/]+)$", 1).alias("split"), F.regexp_extract("path", "[^/]+$", 0).alias("filename")
+    return files.select(*names, number(17).alias("width"), number(21).alias("height"), F.sha2("content", 256).alias("png_sha256"))
 
 
-@query()
+BENCH_WORDS = """w AS (SELECT row_number() OVER (ORDER BY word) - 1 AS i, word FROM (SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS word FROM benchmark) WHERE word <> ''),
+c AS (SELECT count(*) AS n FROM w), ranked AS (SELECT i, word, row_number() OVER (ORDER BY md5('%d:shuffle:' || i || ':' || word), i) - 1 AS rank FROM w),
+sliced AS (SELECT word, CASE WHEN rank < n - ceil(n * CAST(0.2 AS DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM ranked, c)""" % SEED  # noqa: UP031
+
+
+@query(f"""WITH {BENCH_WORDS} SELECT split, count(*) AS n_success, count(*) AS n_total FROM (
+SELECT split FROM sliced UNION ALL SELECT CASE WHEN split = 'train' THEN 'val' ELSE 'train' END FROM sliced) GROUP BY split""")
 def generate_dataset(spark, sf):
-    """A whole run with files in the shared folder: the summary by split."""
-    out = f"{shared_dir(spark)}/dataset"
-    made = kept(_rendered(spark, sf, 100), "results")
-    sinks.write_images(made, out)
-    sinks.write_labels(made, out)
-    return sinks.summary(made)
+    """The summary of that run: its words are distinct and all of them can be drawn, so each split has every word once."""
+    return _run(spark, sf)[1]

@@ -165,56 +165,9 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
-def decode(data: bytes) -> np.ndarray:
-    """A picture as an array of three channels: 8-bit PNG here, other formats by Pillow where it is installed."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        return _by_pillow(data)
-    at, body, head, palette = 8, b"", b"", b""
-    while at < len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
-        content = data[at + 8 : at + 8 + size]
-        head, palette = (content if kind == b"IHDR" else head), (content if kind == b"PLTE" else palette)
-        body += content if kind == b"IDAT" else b""
-        at += 12 + size
-    width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", head)
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    if depth != 8 or interlace:
-        return _by_pillow(data)
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, width * channels + 1)
-    rows = np.zeros((height + 1, width * channels), np.uint8)
-    for y in range(height):
-        rows[y + 1] = _unfilter(int(raw[y, 0]), raw[y, 1:], rows[y], channels)
-    out = rows[1:].reshape(height, width, channels)
-    if colour == 3:
-        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[out[..., 0]]
-    return out[..., :3] if channels >= 3 else np.repeat(out[..., :1], 3, axis=2)
-
-
-def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return row
-    if kind == 2:
-        return row + above
-    out = row.astype(int)
-    up = above.astype(int)
-    for k in range(len(out)):
-        a = out[k - step] if k >= step else 0
-        c = up[k - step] if k >= step else 0
-        b = up[k]
-        if kind == 1:
-            guess = a
-        elif kind == 3:
-            guess = (a + b) // 2
-        else:
-            p = a + b - c
-            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-        out[k] = (out[k] + guess) & 255
-    return out.astype(np.uint8)
-
-
-def _by_pillow(data: bytes) -> np.ndarray:
-    import io
-
-    from PIL import Image
-
-    return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
+def pixels(content: bytes, width: int, height: int, channels: int) -> np.ndarray | None:
+    """Three channels, red first, of a picture as Spark's image source gives it (blue first); None if it has no pixels."""
+    if width <= 0 or height <= 0 or channels not in (1, 3, 4):
+        return None
+    rows = np.frombuffer(content, np.uint8).reshape(height, width, channels)
+    return np.repeat(rows, 3, axis=2) if channels == 1 else rows[..., 2::-1]

@@ -64,6 +64,9 @@ class Font:
         return out
 
     def characters(self) -> list[str]:
+        """What the font can draw: a font without TrueType outlines is matched with nothing, rather than fail on every row."""
+        if b"glyf" not in self.tables:
+            raise FontError("only TrueType outlines are drawn")
         return [chr(p) for p in sorted(self.cmap) if not 0xD800 <= p <= 0xDFFF]
 
     @property

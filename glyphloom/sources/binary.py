@@ -47,28 +47,21 @@ def font_chars(support: DataFrame) -> DataFrame:
     return support.select("font_path", F.explode(F.array_distinct("chars")).alias("ch"))
 
 
-def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from glyphloom.raster.image import decode
-
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            try:
-                height, width = decode(bytes(content)).shape[:2]
-                rows.append((path, width, height))
-            except Exception:  # noqa: BLE001  any picture that can't be decoded takes up an attempt and is never used
-                rows.append((path, 0, 0))
-        yield pd.DataFrame(rows, columns=["path", "width", "height"])
-
-
 def backgrounds(spark: SparkSession, folder: str | None) -> DataFrame:
-    """``bg_idx``, ``path``, ``width``, ``height``, ``content`` in the order of paths; pictures that can't be decoded have size 0."""
-    schema = "bg_idx int, path string, width int, height int, content binary"
-    rows = [] if folder is None else files(spark, folder, PICTURES)
-    if folder is None or rows.isEmpty():
+    """``bg_idx``, ``path``, ``width``, ``height``, ``channels`` and ``content`` (decoded pixels) in the order of paths.
+
+    Spark's image source decodes them on the JVM, JPEG and every kind of PNG alike. What can't be decoded has size 0: it takes up
+    the attempts that draw it and is never used. Without pictures there is a warning, and crops are white.
+    """
+    schema = "bg_idx int, path string, width int, height int, channels int, content binary"
+    rows = None
+    if folder is not None:
+        found = spark.read.format("image").load(folder).select("image.*").where(has_suffix(F.col("origin"), PICTURES))
+        size = lambda c: F.greatest(F.lit(0), F.col(c)).alias(c)
+        rows = found.select(F.col("origin").alias("path"), size("width"), size("height"), F.col("nChannels").alias("channels"), F.col("data").alias("content"))
+    if rows is None or rows.isEmpty():
         warnings.warn("there are no background pictures: white ones are used", stacklevel=2)
         return spark.createDataFrame([], schema)
-    sized = rows.select("path", "content").mapInPandas(_sizes, "path string, width int, height int")
     # Numbers follow the paths alone, of which there are as many as pictures.
     paths = rows.select("path").sort("path").coalesce(1).select("path", F.monotonically_increasing_id().cast("int").alias("bg_idx"))
-    return rows.join(sized, "path").join(paths, "path").select("bg_idx", "path", "width", "height", "content")
+    return rows.join(paths, "path").select("bg_idx", "path", "width", "height", "channels", "content")

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import threading
+import time
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Labels of a split that are put into one JSON file by the driver; beyond it they are written as JSON lines only.
-LABELS_IN_ONE_FILE = 2_000_000
+from glyphloom.storage import qualified
 
-
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+#: Labels of one row of ``label_map``.
+MAP_ROWS = 100_000
 
 
 def write_images(results: DataFrame, output_dir: str) -> int:
@@ -23,17 +24,20 @@ def write_images(results: DataFrame, output_dir: str) -> int:
 
     A file is written under a name of its own and renamed, so a repeated task leaves the same files. Other files stay.
     """
-    store, root = _store(output_dir)
+    out = qualified(results.sparkSession, output_dir)
+    store, root = fs.FileSystem.from_uri(out)
     for split in ("train", "val"):
         store.create_dir(f"{root}/{split}/images", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, base = _store(output_dir)
+        own, base = fs.FileSystem.from_uri(out)
+        attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for split, name, png in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with own.open_output_stream(f"{base}/{split}/images/.{name}.part") as f:
+                part = f"{base}/{split}/images/.{name}.{attempt}.part"
+                with own.open_output_stream(part) as f:
                     f.write(png)
-                own.move(f"{base}/{split}/images/.{name}.part", f"{base}/{split}/images/{name}")
+                own.move(part, f"{base}/{split}/images/{name}")
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
     rows = results.where("success").select("split", "filename", "png")
@@ -46,17 +50,23 @@ def labels(results: DataFrame) -> DataFrame:
 
 
 def write_labels(results: DataFrame, output_dir: str) -> None:
-    """Labels as JSON lines by split; and ``labels.json``, one object by file name in the order of idx, where it isn't too large."""
+    """Labels as JSON lines by split; and ``labels.json``, one object by file name in the order of idx.
+
+    The object is written label by label as sorted partitions come in, so the driver holds one of them at a time.
+    """
     rows = labels(results)
-    rows.write.mode("overwrite").partitionBy("split").json(f"{output_dir}/labels")
-    store, root = _store(output_dir)
-    counts = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
-    for split, n in counts.items():
-        if n <= LABELS_IN_ONE_FILE:
-            found = rows.where(F.col("split") == split).sort("idx").select("filename", "text").toLocalIterator()
-            store.create_dir(f"{root}/{split}", recursive=True)
-            with store.open_output_stream(f"{root}/{split}/labels.json") as f:
-                f.write(json.dumps({r["filename"]: r["text"] for r in found}, ensure_ascii=False, indent=2).encode())
+    out = qualified(results.sparkSession, output_dir)
+    rows.write.mode("overwrite").partitionBy("split").json(f"{out}/labels")
+    store, root = fs.FileSystem.from_uri(out)
+    word = lambda s: json.dumps(s, ensure_ascii=False)
+    for split in sorted(r["split"] for r in rows.select("split").distinct().collect()):
+        found = rows.where(F.col("split") == split).sort("idx").select("filename", "text").toLocalIterator()
+        store.create_dir(f"{root}/{split}", recursive=True)
+        with store.open_output_stream(f"{root}/{split}/labels.json") as f:
+            f.write(b"{")
+            for k, r in enumerate(found):
+                f.write(f"{',' * (k > 0)}\n  {word(r['filename'])}: {word(r['text'])}".encode())
+            f.write(b"\n}")
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -64,9 +74,10 @@ def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("split").agg(F.count_if("success").alias("n_success"), F.count("*").alias("n_total"))
 
 
-def label_map(results: DataFrame) -> DataFrame:
-    """``split`` and its labels as a map, for splits that are small enough for one row."""
-    return labels(results).groupBy("split").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("filename", "text")))).alias("labels"))
+def label_map(results: DataFrame, rows: int = MAP_ROWS) -> DataFrame:
+    """``split``, ``part`` and the labels of that part's ``rows`` places (of idx) as a map."""
+    part = labels(results).withColumn("part", F.floor(F.col("idx") / rows))
+    return part.groupBy("split", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("filename", "text")))).alias("labels"))
 
 
 def progress(results: DataFrame, every: int = 50) -> DataFrame:
@@ -77,3 +88,47 @@ def progress(results: DataFrame, every: int = 50) -> DataFrame:
     steps = results.groupBy("split", F.floor(F.col("idx") / every).alias("step")).agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
     over = Window.partitionBy("split").orderBy("step")
     return steps.select("split", F.sum("n").over(over).alias("completed"), F.sum("ok").over(over).alias("succeeded"))
+
+
+def rate_and_eta(done: float, total: float, seconds: float) -> tuple[float, float | None]:
+    """Images a second so far, and the seconds left at that rate; None where nothing has been done yet."""
+    rate = done / seconds if seconds > 0 else 0.0
+    return rate, (total - done) / rate if rate > 0 else None
+
+
+class Monitor:
+    """Shows, while a run's images are drawn, about how many are done, their rate, and the time left.
+
+    Spark counts finished tasks; ``total`` images are taken to be dealt to them evenly. ``show`` gets each line.
+    """
+
+    def __init__(self, spark: SparkSession, total: int, show: Callable[[str], None] = print, every: float = 5.0) -> None:
+        self.context, self.total, self.show, self.every = spark.sparkContext, total, show, every
+        self.group, self.over = f"images-{id(self)}", threading.Event()
+
+    def __enter__(self) -> Monitor:
+        self.began = time.monotonic()
+        self.context.setJobGroup(self.group, "images", False)
+        self.thread = threading.Thread(target=self._watch, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.over.set()
+        self.thread.join()
+        self.context.setLocalProperty("spark.jobGroup.id", None)
+        if error[0] is None:
+            self.show(self.line(self.total))
+
+    def line(self, done: float) -> str:
+        rate, left = rate_and_eta(done, self.total, time.monotonic() - self.began)
+        return f"{done:.0f} of {self.total} images, {rate:.1f} a second" + (f", {left:.0f} s left" if left is not None else "")
+
+    def _watch(self) -> None:
+        tracker = self.context.statusTracker()
+        while not self.over.wait(self.every):
+            stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(self.group) for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else [])]
+            known = [s for s in stages if s is not None and s.numTasks]
+            if known:
+                last = known[-1]
+                self.show(self.line(self.total * last.numCompletedTasks / last.numTasks))

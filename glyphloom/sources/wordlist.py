@@ -16,17 +16,33 @@ def words_of(docs: DataFrame, order: list[str], column: str = "text") -> DataFra
     return with_index(words, [F.col(c).asc_nulls_first() for c in (*order, "pos")]).select("i", "word")
 
 
-def read(spark: SparkSession, path: str, strip_bom: bool = False, max_file_bytes: int = 64 << 20) -> DataFrame:
-    """``i`` and ``word`` of the text files at ``path``.
-
-    A file is read whole, so that a byte-order mark and lone carriage returns are kept as they are; where a file is over
-    ``max_file_bytes``, all are read line by line instead, in which case Spark drops a byte-order mark.
+def _marked(spark: SparkSession, files: list[str]) -> list[str]:
+    """Those of the files that begin with a byte-order mark."""
+    found = []
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+        try:
+            if [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]:
+                found.append(name)
+        finally:
+            stream.close()
+    return found
+
+
+def read(spark: SparkSession, path: str, strip_bom: bool = False) -> DataFrame:
+    """``i`` and ``word`` of the text files at ``path``, in the order of their names.
+
+    Files of any size are read in blocks, line feed by line feed, and lines are then broken at carriage returns. Spark drops a
+    byte-order mark; it is put back before the first line of its file (it is no white space) unless ``strip_bom`` is set.
     """
-    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
-    if sizes.where(F.col("length") > max_file_bytes).isEmpty():
-        docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-        value = F.regexp_replace("value", "^\ufeff", "") if strip_bom else F.col("value")
-        return words_of(docs.select("file", value.alias("value")), ["file"], "value")
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    words = rows.select("file", "block", "row", text.strip(F.col("value")).alias("word")).where("word <> ''")
-    return with_index(words, [F.col("file"), F.col("block"), F.col("row")]).select("i", "word")
+    at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    rows = spark.read.option("lineSep", "\n").text(path).select(at[0].alias("file"), at[1].alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    marked = [] if strip_bom else _marked(spark, [r["file"] for r in spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")).collect()])
+    if marked:
+        first = rows.where(F.col("file").isin(marked) & (F.col("block") == 0)).groupBy("file").agg(F.min("row").alias("_first"))
+        # One row for each marked file.
+        rows = rows.join(F.broadcast(first), "file", "left").withColumn("value", F.when(F.col("row") == F.col("_first"), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value")))
+    lines = rows.select("file", "block", "row", F.posexplode(F.split("value", "\r")).alias("pos", "line"))
+    words = lines.select("file", "block", "row", "pos", text.strip(F.col("line")).alias("word")).where("word <> ''")
+    return with_index(words, [F.col("file"), F.col("block"), F.col("row"), F.col("pos")]).select("i", "word")

@@ -5,8 +5,10 @@ import pytest
 
 from glyphloom.config import GenerationConfig
 from glyphloom.functions import charsets, draws
+from glyphloom.operators import backgrounds
 from glyphloom.plans import generate
 from glyphloom.raster import image, ttf
+from glyphloom.sources import binary, sinks
 
 FONTS = "/usr/share/fonts/truetype/dejavu"
 DATA = open(f"{FONTS}/DejaVuSans.ttf", "rb").read()
@@ -69,7 +71,6 @@ def test_compose_and_png():
     assert (made[..., 3] == 255).all()
     none = image.compose(np.zeros_like(alpha), crop, 0.5)
     assert (none[..., :3] == crop).all()
-    assert (image.decode(image.png(made)) == made[..., :3]).all()
     with pytest.raises(ValueError):
         image.visible_ratio(np.zeros((0, 0)))
     assert image.visible_ratio(np.array([[20, 21]])) == 0.5
@@ -97,8 +98,10 @@ def test_whole_run(spark, tmp_path):
     (tmp_path / "bg/a.png").write_bytes(image.png(np.full((80, 300, 3), 120, np.uint8)))
     (tmp_path / "bg/broken.png").write_bytes(b"no picture")
     config = GenerationConfig(str(tmp_path / "words.txt"), FONTS, str(tmp_path / "out"), 10, str(tmp_path / "bg"), seed=4)
-    found = {r.split: r for r in generate.generate(spark, config).collect()}
+    shown = []
+    found = {r.split: r for r in generate.generate(spark, config, show=shown.append).collect()}
     assert set(found) == {"train", "val"}
+    assert shown and "images" in shown[-1] and "a second" in shown[-1]
     import json
 
     for split in found:
@@ -108,22 +111,83 @@ def test_whole_run(spark, tmp_path):
         assert {"one", "two", "Àé"} <= set(labels.values())
 
 
-def test_images_do_not_depend_on_partitions(spark):
-    from glyphloom.sources import binary
+def test_pictures_of_all_kinds(spark, tmp_path):
+    """JPEG and PNG of several depths, decoded on the JVM; what is no picture, and what is too small, is never used."""
+    jvm, kind = spark._jvm, spark._jvm.java.awt.image.BufferedImage
+    for name, form, of in (("a.jpg", "jpg", kind.TYPE_INT_RGB), ("b.png", "png", kind.TYPE_INT_ARGB), ("c.PNG", "png", kind.TYPE_BYTE_INDEXED), ("d.jpeg", "jpg", kind.TYPE_BYTE_GRAY), ("e.png", "png", kind.TYPE_USHORT_GRAY)):
+        picture = jvm.java.awt.image.BufferedImage(6, 4, of)
+        for x in range(6):
+            for y in range(4):
+                picture.setRGB(x, y, (255 << 24) - (1 << 32) + (200 << 16) + (100 << 8) + 50)
+        assert jvm.javax.imageio.ImageIO.write(picture, form, jvm.java.io.File(str(tmp_path / name)))
+    (tmp_path / "f.png").write_bytes(b"not an image")
+    (tmp_path / "g.txt").write_bytes((tmp_path / "b.png").read_bytes())
+    found = binary.backgrounds(spark, str(tmp_path)).sort("bg_idx").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in found] == ["a.jpg", "b.png", "c.PNG", "d.jpeg", "e.png", "f.png"] and [r.bg_idx for r in found] == list(range(6))
+    assert [(r.width, r.height) for r in found] == [(6, 4)] * 5 + [(0, 0)]
+    made = [image.pixels(bytes(r.content), r.width, r.height, r.channels) for r in found]
+    assert made[5] is None and all(m.shape == (4, 6, 3) for m in made[:5])
+    assert all(np.abs(m.astype(int) - [200, 100, 50]).max() <= 5 for m in made[:3])
+    (tmp_path / "own").mkdir()
+    whole = np.random.default_rng(0).integers(0, 256, (9, 13, 3), dtype=np.uint8)
+    (tmp_path / "own/x.png").write_bytes(image.png(whole))
+    r = binary.backgrounds(spark, str(tmp_path / "own")).first()
+    assert (image.pixels(bytes(r.content), r.width, r.height, r.channels) == whole).all()
+
+
+def test_small_background_and_none(spark, tmp_path):
+    """Crops are white where no picture is large enough, and, with a warning, where there is none."""
+    (tmp_path / "bg").mkdir()
+    (tmp_path / "bg/small.png").write_bytes(image.png(np.zeros((5, 5, 3), np.uint8)))
+    tasks = spark.createDataFrame([(1, 50, 50)], "key long, w int, h int")
+    assert backgrounds.crop_plan(tasks, binary.backgrounds(spark, str(tmp_path / "bg")), 1).first() == (1, 50, 50, None, None, None)
+    (tmp_path / "empty").mkdir()
+    for folder in (None, str(tmp_path / "empty")):
+        with pytest.warns(UserWarning, match="no background pictures"):
+            none = binary.backgrounds(spark, folder)
+        assert backgrounds.crop_plan(tasks, none, 1).first() == (1, 50, 50, None, None, None)
+
+
+def test_crop_plans_agree(spark, monkeypatch):
+    tasks = spark.range(200).selectExpr("id AS key", "CAST(5 + id % 60 AS INT) AS w", "CAST(3 + id % 20 AS INT) AS h")
+    pictures = spark.createDataFrame([(0, 20, 20), (1, 64, 30), (2, 0, 0), (3, 9, 9)], "bg_idx int, width int, height int")
+    made = []
+    for most in (4096, 0):
+        monkeypatch.setattr(backgrounds, "IN_PLAN", most)
+        made.append(sorted(map(tuple, backgrounds.crop_plan(tasks, pictures, 5).collect()), key=str))
+    assert made[0] == made[1] and {r[3] for r in made[0]} == {None, 0, 1, 3}
+
+
+def test_rate():
+    assert sinks.rate_and_eta(50, 200, 10) == (5.0, 30.0) and sinks.rate_and_eta(0, 200, 10) == (0.0, None)
+
 
+def test_custom_augmentations(spark):
+    own = binary.fonts(spark, FONTS).where("font_path like '%DejaVuSans.ttf'")
+    tasks = spark.createDataFrame([("train", 0, "0.png", "word", own.first().font_path)], generate.PLAN)
+    turned = generate.render(tasks, own, GenerationConfig("", FONTS, "", 1), augmentations=(lambda p, d: p.T,)).first()
+    plain = generate.render(tasks, own, GenerationConfig("", FONTS, "", 1), augmentations=(lambda p, d: p,)).first()
+    assert (turned.width, turned.height) == (plain.height, plain.width)
+
+
+def test_images_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
     own = binary.fonts(spark, FONTS).where("font_path like '%DejaVuSans.ttf'")
     path = own.first().font_path
     rows = [("train", k, f"{k}.png", w, path if w != "x" else None) for k, w in enumerate(["a", "word", "x", "Ünï"])]
-    made = []
-    for parts, most in ((1, generate.MOST_SENT), (3, generate.MOST_SENT), (2, -1)):
-        tasks = spark.createDataFrame(rows, generate.PLAN).repartition(parts)
-        old, generate.MOST_SENT = generate.MOST_SENT, most
-        try:
-            made.append(sorted((r.idx, r.success, bytes(r.png or b"")) for r in generate.render(tasks, own, GenerationConfig("", FONTS, "", 4)).collect()))
-        finally:
-            generate.MOST_SENT = old
-    assert made[0] == made[1] == made[2]
-    assert [r[1] for r in made[0]] == [True, True, False, True]
+    rng = np.random.default_rng(1)
+    for name, (h, w) in {"a": (60, 200), "b": (90, 300), "small": (5, 5)}.items():
+        (tmp_path / f"{name}.png").write_bytes(image.png(rng.integers(0, 256, (h, w, 3), dtype=np.uint8)))
+    pictures = binary.backgrounds(spark, str(tmp_path))
+    for backgrounds in (None, pictures):
+        made = []
+        for parts, most, font_rows, in_plan in ((1, generate.MOST_SENT, 20_000, 4096), (3, generate.MOST_SENT, 20_000, 0), (2, -1, 1, 4096)):
+            tasks = spark.createDataFrame(rows, generate.PLAN).repartition(parts)
+            monkeypatch.setattr(generate, "MOST_SENT", most)
+            monkeypatch.setattr(generate, "FONT_ROWS", font_rows)
+            monkeypatch.setattr(generate.crops, "IN_PLAN", in_plan)
+            made.append(sorted((r.idx, r.success, bytes(r.png or b"")) for r in generate.render(tasks, own, GenerationConfig("", FONTS, "", 4), backgrounds).collect()))
+        assert made[0] == made[1] == made[2]
+        assert [r[1] for r in made[0]] == [True, True, False, True]
 
 
 def test_stream(spark, tmp_path):

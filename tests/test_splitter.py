@@ -65,6 +65,19 @@ def test_read_files(spark, tmp_path):
     assert [r.word for r in wordlist.read(spark, str(tmp_path), strip_bom=True).sort("i").collect()] == ["one", "two", "three", "two"]
 
 
+def test_one_rule_for_all_sizes(spark, tmp_path):
+    """Files of many blocks are read as small ones are: marks and lone carriage returns included."""
+    (tmp_path / "a.txt").write_bytes(("\ufeff first\r\n" + "".join(f"line {k}\rrest {k}\n" for k in range(3000))).encode())
+    (tmp_path / "b.txt").write_bytes("\ufeff\n\nlast".encode())
+    wanted = ["\ufeff first", *(x for k in range(3000) for x in (f"line {k}", f"rest {k}")), "\ufeff", "last"]
+    for block in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        try:
+            assert [r.word for r in wordlist.read(spark, str(tmp_path)).sort("i").collect()] == wanted
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_names_grow(spark):
     rows = splitter.manifest(spark.createDataFrame([("train", 99999), ("train", 100000)], "split string, idx long"), "o").sort("idx").collect()
     assert [r.filename for r in rows] == ["99999.png", "100000.png"]
