@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from glyphloom.config import GenerationConfig
 from glyphloom.functions import charsets, draws, text
 from glyphloom.operators import backgrounds, fonts, splitter, visibility
 from glyphloom.plans import generate
-from glyphloom.raster import image
+from glyphloom.raster import image, ttf
 from glyphloom.sources import binary, sinks, wordlist
 from glyphloom.storage import kept, shared_dir, with_index
 
@@ -324,18 +326,34 @@ def bold_offsets(spark, sf):
     return read(spark, sf, "orders").select(KEY, F.explode(drawn).alias("o")).select(KEY, "o.dx", "o.dy")
 
 
-ADVANCES = [(c, 4 + ord(c) % 7) for c in charsets.string.ascii_letters] + [(" ", 3)]
-ADVANCES_SQL = ", ".join(f"('{c}', {w})" for c, w in ADVANCES)
+CANVAS_FONT = f"{FONT_DIR}/DejaVuSans.ttf"
 
 
-@query(f"""WITH {LINES}, adv AS (SELECT * FROM (VALUES {ADVANCES_SQL}) t(ch, w)), s AS (
+@cache
+def _advances() -> tuple[int, list[tuple[str, int]], int]:
+    """Units of the em, the advance of each character of a real font, and that of a character that it lacks."""
+    with open(CANVAS_FONT, "rb") as f:
+        font = ttf.Font(f.read())
+    return font.units, [(chr(p), font.advance(g)) for p, g in sorted(font.cmap.items()) if p and not 0xD800 <= p <= 0xDFFF], font.advance(0)
+
+
+def _canvas_sql() -> str:
+    units, known, lacking = _advances()
+    values = ", ".join(f"({literal(c)}, {w})" for c, w in known)
+    return f"""WITH {LINES}, adv AS (SELECT * FROM (VALUES {values}) t(ch, w)), s AS (
 SELECT i, CAST(18 + floor({draws.sql(SEED, "size", "i")} * 18) AS INTEGER) AS size, unnest(string_split(word, '')) AS ch FROM words)
-SELECT i, CAST(floor(sum(coalesce(w, 5)) * any_value(size) / 10.0) AS BIGINT) + 8 AS width, any_value(size) + 8 AS height FROM s LEFT JOIN adv USING (ch) GROUP BY i""")
+SELECT i, CAST(floor(sum(coalesce(w, {lacking})) * any_value(size) / {units}.0) AS BIGINT) + 8 AS width, any_value(size) + 8 AS height FROM s LEFT JOIN adv USING (ch) GROUP BY i"""
+
+
+@query()
 def text_canvas_size(spark, sf):
-    size = draws.integer(18, 35, SEED, "size", "i")
-    known = F.create_map(*(x for c, w in ADVANCES for x in (F.lit(c), F.lit(w))))
-    total = F.aggregate(F.split("word", ""), F.lit(0), lambda a, c: a + F.when(c == "", 0).otherwise(F.coalesce(F.try_element_at(known, c), F.lit(5))))
-    return words(spark, sf).select("i", (F.floor(total * size / F.lit(10.0)) + 8).alias("width"), (size + 8).alias("height"))
+    """The canvas that a text's advances and the padding need, by a real font's table of advances."""
+    units, known, lacking = _advances()
+    # The table has a font's characters.
+    table = F.broadcast(spark.createDataFrame(known, "ch string, w int"))
+    chars = words(spark, sf).select("i", F.explode(F.split("word", "")).alias("ch")).where("ch <> ''").join(table, "ch", "left")
+    total = chars.groupBy("i").agg(F.sum(F.coalesce("w", F.lit(lacking))).alias("total")).withColumn("size", draws.integer(18, 35, SEED, "size", "i"))
+    return total.select("i", (F.floor(F.col("total") * F.col("size") / F.lit(float(units))) + 8).alias("width"), (F.col("size") + 8).alias("height"))
 
 
 def _corner(s: str, c: str, sx: int, sy: int) -> tuple[str, str]:
@@ -545,3 +563,25 @@ SELECT split FROM sliced UNION ALL SELECT CASE WHEN split = 'train' THEN 'val' E
 def generate_dataset(spark, sf):
     """The summary of that run: its words are distinct and all of them can be drawn, so each split has every word once."""
     return _run(spark, sf)[1]
+
+
+def _fonts_sql() -> dict[str, str]:
+    """SQL over the characters of the real fonts, as rows of their names and characters."""
+    found = []
+    for path in sorted(Path(FONT_DIR).iterdir()):
+        if path.suffix.lower() in binary.FONTS:
+            found.append((path.name, "".join(c for c in ttf.Font(path.read_bytes()).characters() if c != "\0")))
+    rows = ", ".join(f"({literal(n)}, {literal(c)})" for n, c in found)
+    real = f"""{LINES}, fonts AS (SELECT name, unnest(string_split(chars, '')) AS ch FROM (VALUES {rows}) t(name, chars)),
+vocab AS (SELECT DISTINCT word FROM words), need AS (SELECT word, unnest(list_distinct(string_split(word, ''))) AS ch FROM vocab),
+sizes AS (SELECT word, count(*) AS n FROM need GROUP BY word),
+matched AS (SELECT word, count(*) AS n_fonts FROM (SELECT word, name, count(*) AS have FROM need JOIN fonts USING (ch) GROUP BY word, name) JOIN sizes USING (word) WHERE have = n GROUP BY word)"""
+    return {
+        "font_match_real": f"WITH {real} SELECT word, CAST(coalesce(n_fonts, 0) AS INTEGER) AS n_fonts FROM vocab LEFT JOIN matched USING (word)",
+        "text_canvas_size": _canvas_sql(),
+    }
+
+
+def oracle() -> dict[str, str]:
+    """All SQL, with that which needs the fonts of this machine where it has them."""
+    return SQL | (_fonts_sql() if Path(CANVAS_FONT).exists() else {})

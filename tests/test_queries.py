@@ -2,9 +2,11 @@
 
 import pytest
 
-from glyphloom.plans.queries import QUERIES, SQL
+from glyphloom.plans.queries import QUERIES, oracle
 from tests.compare import same, tables
 
+SQL = oracle()
+
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):

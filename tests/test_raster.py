@@ -199,3 +199,30 @@ def test_stream(spark, tmp_path):
         wordlists.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), 4).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert rows.where("batch = 0").select("split", "word").distinct().count() == 4
+
+
+@pytest.mark.parametrize("name", ["DejaVuSans.ttf", "DejaVuSansMono-Bold.ttf", "DejaVuSerif.ttf"])
+def test_characters_and_advances_as_java_has_them(spark, name):
+    """Character maps and advances against the JVM's own reading of the fonts."""
+    jvm = spark._jvm
+    data, size = open(f"{FONTS}/{name}", "rb").read(), 2048.0
+    font = ttf.Font(data)
+    java = jvm.java.awt.Font.createFont(0, jvm.java.io.File(f"{FONTS}/{name}")).deriveFont(size)
+    own = {ord(c) for c in font.characters()}
+    sample = [p for p in range(0x21, 0x3000, 7) if not 0x7F <= p < 0xA0 and not 0x200B <= p <= 0x206F and p != 0xAD]
+    assert [p for p in sample if (p in own) != java.canDisplay(p)] == []
+    lines = jvm.java.awt.font.FontRenderContext(None, True, True)
+    for p in [p for p in sample if p in own and chr(p).isalpha()][::5]:
+        advance = java.createGlyphVector(lines, chr(p)).getGlyphMetrics(0).getAdvanceX()
+        assert abs(advance - font.advance(font.cmap[p]) * size / font.units) < 1, hex(p)
+
+
+def test_fonts_without_outlines(spark, tmp_path):
+    """A font of another kind of outlines is matched with no word, and a broken one neither."""
+    data = bytearray(DATA)
+    at = data.index(b"glyf", 12)
+    data[at : at + 4] = b"CFF "
+    (tmp_path / "a.otf").write_bytes(bytes(data))
+    (tmp_path / "b.ttf").write_bytes(b"junk")
+    found = binary.font_support(binary.fonts(spark, str(tmp_path))).collect()
+    assert len(found) == 2 and all(r.chars == [] and r.error for r in found)
