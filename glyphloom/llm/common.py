@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphloom.storage import shared_dir
+
 #: Documents whose crc32(doc_id as text) is 0 modulo this are held out of every training set.
 HOLD_OUT_MOD = 5
 
@@ -19,33 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with scheme and authority, by Spark's default file system where it names none."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session has none and runs on one machine (as in tests), a temporary folder is made and used as checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return qualified(spark, base).rstrip("/")
-
-
-def _context_dir(spark: SparkSession) -> str | None:
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return found.get() if found.isDefined() else None
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -75,7 +49,8 @@ def discard(*tables: DataFrame) -> None:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Has Python functions get and give so many rows at a time, so that batches of long texts stay small.
 
-    Workers live on from stage to stage with what they have loaded; batches come on top of that.
+    Workers live on from stage to stage with what they have loaded; batches come on top of that. The setting is the session's and
+    stays, since a stage's rows are only made after it has returned; results don't depend on it.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

@@ -5,7 +5,7 @@ document fails. A policy is a versioned mask: a document is kept if it fails non
 then compared, and rules ablated, by bitwise aggregation over the ledger, without looking at a text again.
 
 Defined results: a null or blank text has no words and fails ``few_words``; repeated rows are judged each for itself;
-an empty table gives an empty ledger. All of a text is read. Columns of the input that clash with the ledger's own are
+an empty table gives an empty ledger. All of a text is read, however long. A value at a rule's bound passes, so there are no ties. Columns of the input that clash with the ledger's own are
 replaced by the ledger's.
 """
 

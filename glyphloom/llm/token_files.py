@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import qualified
 from glyphloom.llm.unit_cache import LONGEST, by_size
+from glyphloom.storage import qualified
 
 MAGIC = b"TOKIDX01"
 #: Magic, bytes of an id, documents, ids.
@@ -184,7 +184,7 @@ def encoder(path: str, threads: int = 1, special_as_text: bool = False) -> ByteL
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    """The store and path of a qualified URI; one without a scheme is completed on the driver (``common.qualified``)."""
+    """The store and path of a qualified URI; one without a scheme is completed on the driver (``storage.qualified``)."""
     return fs.FileSystem.from_uri(uri)
 
 
