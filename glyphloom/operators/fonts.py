@@ -1,4 +1,4 @@
-"""Fonts that can draw all characters of a word: relational division over distinct character sets."""
+"""Fonts that can draw all characters of a word: division over distinct character sets, by bitmaps of fonts."""
 
 from __future__ import annotations
 
@@ -11,15 +11,28 @@ from glyphloom.functions import draws, text
 def candidates(words: DataFrame, font_chars: DataFrame) -> DataFrame:
     """``word`` and ``candidates``, the sorted fonts that have every character of it; words without any have an empty array.
 
-    Words are reduced to their distinct character sets first. A set's characters meet the fonts' in an equi-join, and a
-    font covers the set if it has as many of them as there are. ``font_chars`` has distinct rows of ``font_path``, ``ch``.
+    Words are reduced to their distinct character sets first. Each character has the fonts that draw it as bits, 64 to a number;
+    a set's fonts are the bitwise AND over its characters. So a common character costs a set one row, not one for each font.
+    ``font_chars`` has distinct rows of ``font_path``, ``ch``.
     """
+    # There are as many paths as font files.
+    paths = [r["font_path"] for r in font_chars.select("font_path").distinct().sort("font_path").collect()]
     sets = words.select("word").distinct().withColumn("chars", F.array_sort(text.charset(F.col("word"))))
-    kinds = sets.select("chars").distinct()
-    needed = kinds.select("chars", F.size("chars").alias("n"), F.explode("chars").alias("ch"))
-    covered = needed.join(font_chars, "ch").groupBy("chars", "font_path").agg(F.count("*").alias("have"), F.first("n").alias("n"))
-    fonts = covered.where("have = n").groupBy("chars").agg(F.array_sort(F.collect_list("font_path")).alias("candidates"))
-    return sets.join(fonts, "chars", "left").select("word", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    nothing = F.array().cast("array<string>")
+    if not paths:
+        return sets.select("word", nothing.alias("candidates"))
+    numbered = words.sparkSession.createDataFrame(list(enumerate(paths)), "k int, font_path string")
+    blocks = range((len(paths) + 63) // 64)
+    bit = F.expr("shiftleft(1L, k % 64)")
+    of = font_chars.join(F.broadcast(numbered), "font_path").groupBy("ch")
+    masks = of.agg(*(F.bit_or(F.when(F.floor(F.col("k") / 64) == b, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{b}") for b in blocks))
+    needed = sets.select("chars").distinct().select("chars", F.explode("chars").alias("ch"))
+    # One row for each character that any font has: bounded by Unicode.
+    met = needed.join(F.broadcast(masks), "ch", "left").groupBy("chars")
+    able = met.agg(*(F.bit_and(F.coalesce(f"m{b}", F.lit(0).cast("bigint"))).alias(f"m{b}") for b in blocks))
+    own = F.array(*(F.col(f"m{b}") for b in blocks))
+    names = F.filter(F.array(*map(F.lit, paths)), lambda p, k: F.getbit(F.get(own, F.floor(k / 64).cast("int")), k % 64) == 1)
+    return sets.join(able.select("chars", names.alias("candidates")), "chars", "left").select("word", F.coalesce("candidates", nothing).alias("candidates"))
 
 
 def chosen(rows: DataFrame, found: DataFrame, seed: int, *keys: str) -> DataFrame:

@@ -17,6 +17,8 @@ from glyphloom.storage import qualified
 
 #: Labels of one row of ``label_map``.
 MAP_ROWS = 100_000
+#: Steps of a block of ``progress``.
+BLOCK = 4096
 
 
 def write_images(results: DataFrame, output_dir: str) -> int:
@@ -83,11 +85,17 @@ def label_map(results: DataFrame, rows: int = MAP_ROWS) -> DataFrame:
 def progress(results: DataFrame, every: int = 50) -> DataFrame:
     """What a monitor would show after each ``every`` rows of a split and at its end: rows and successes so far.
 
-    Rows are first summed up by step, so the running sums are over few rows.
+    Rows are first summed up by step, and steps by blocks of BLOCK: a window orders the few blocks of a split, others the steps within
+    a block, so none grows with a split's rows.
     """
     steps = results.groupBy("split", F.floor(F.col("idx") / every).alias("step")).agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
-    over = Window.partitionBy("split").orderBy("step")
-    return steps.select("split", F.sum("n").over(over).alias("completed"), F.sum("ok").over(over).alias("succeeded"))
+    steps = steps.withColumn("block", F.floor(F.col("step") / BLOCK))
+    order = Window.partitionBy("split").orderBy("block")
+    blocks = steps.groupBy("split", "block").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+    before = blocks.select("split", "block", *((F.sum(c).over(order) - F.col(c)).alias(f"{c}_before") for c in ("n", "ok")))
+    within = Window.partitionBy("split", "block").orderBy("step")
+    done = steps.select("split", "block", F.sum("n").over(within).alias("n"), F.sum("ok").over(within).alias("ok"))
+    return done.join(before, ["split", "block"]).select("split", (F.col("n") + F.col("n_before")).alias("completed"), (F.col("ok") + F.col("ok_before")).alias("succeeded"))
 
 
 def rate_and_eta(done: float, total: float, seconds: float) -> tuple[float, float | None]:

@@ -1,12 +1,13 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from glyphloom.operators import splitter
-from glyphloom.sources import wordlist
+from glyphloom.operators import fonts, splitter
+from glyphloom.sources import sinks, wordlist
 
 
 def words(spark, values):
@@ -82,3 +83,24 @@ def test_names_grow(spark):
     rows = splitter.manifest(spark.createDataFrame([("train", 99999), ("train", 100000)], "split string, idx long"), "o").sort("idx").collect()
     assert [r.filename for r in rows] == ["99999.png", "100000.png"]
     assert rows[0].save_path == "o/train/images/99999.png"
+
+
+def test_many_fonts(spark):
+    """More fonts than bits in a number, against sets."""
+    rnd = random.Random(0)
+    own = {f"f{k:03}.ttf": {c for c in "abcdefgh é😀" if rnd.random() < 0.8} for k in range(150)} | {"none.ttf": set()}
+    rows = [(p, c) for p, chars in own.items() for c in sorted(chars)]
+    words = spark.createDataFrame([("".join(rnd.choice("abcdefgh é😀") for _ in range(rnd.randint(1, 5))),) for _ in range(60)] + [("zzz",)], "word string")
+    found = fonts.candidates(words, spark.createDataFrame(rows, "font_path string, ch string")).collect()
+    assert {r.word for r in found} == {r.word for r in words.collect()}
+    assert all(r.candidates == sorted(p for p, chars in own.items() if set(r.word) <= chars) for r in found)
+    assert {r.candidates == [] for r in fonts.candidates(words, spark.createDataFrame([], "font_path string, ch string")).collect()} == {True}
+
+
+def test_progress_blocks(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("IF(id % 3 = 0, 'val', 'train') AS split", "id DIV 3 AS idx", "id % 7 <> 0 AS success")
+    made = []
+    for block in (4096, 2):
+        monkeypatch.setattr(sinks, "BLOCK", block)
+        made.append(sorted(map(tuple, sinks.progress(rows, 10).collect())))
+    assert made[0] == made[1] and made[0][-1][1] == 334
