@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,29 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+#: What a worker process holds for an operator, by the operator's name: how to let go of it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Notes that this worker holds caches for an operator, which ``drop`` empties."""
+    _held[name] = drop
+
+
+def sole(name: str) -> None:
+    """Has this worker let go of what it holds for other operators, and give the memory back.
+
+    Spark's workers live on from stage to stage, so the caches of all operators of a pipeline would else add up in them.
+    """
+    others = [n for n in _held if n != name]
+    for n in others:
+        _held.pop(n)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

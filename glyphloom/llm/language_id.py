@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import fresh, hash_fraction, held_out, strings
+from glyphloom.llm.common import fresh, hash_fraction, held_out, hold, sole, strings
 
 DIM = 1024
 N = 3
@@ -34,7 +34,7 @@ UNKNOWN = "und"
 #: Code points bundled at a time.
 PIECE = 1 << 18
 #: n-gram vectors that a worker keeps.
-KEPT_NGRAMS = 60_000
+KEPT_NGRAMS = 40_000
 SCALE = 1 << 20
 
 
@@ -90,6 +90,7 @@ class NgramMemory:
 
 @cache
 def memory() -> NgramMemory:
+    hold("language", memory.cache_clear)
     return NgramMemory()
 
 
@@ -188,6 +189,7 @@ def predicted(text: Column, model: LanguageModel) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def run(column: pa.Array) -> pa.Array:
+        sole("language")
         found = [model.predict(t) for t in strings(column)]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 

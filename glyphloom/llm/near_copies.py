@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import discard, fresh, materialise, sorted_groups, strings
+from glyphloom.llm.common import discard, fresh, materialise, sole, sorted_groups, strings
 from glyphloom.llm.components import connected_components
 from glyphloom.llm.simhash import BKTree, kept_rows, majority
 
@@ -89,6 +89,7 @@ def described(text: Column) -> Column:
 
     @F.arrow_udf("node bigint, fp bigint, bands array<bigint>")
     def run(column: pa.Array) -> pa.Array:
+        sole("near copies")
         nodes, prints, bands = [], [], []
         for t in strings(column):
             s = shingle_set(t)
@@ -104,6 +105,7 @@ def described(text: Column) -> Column:
 def sets_of(text: Column) -> Column:
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
+        sole("near copies")
         return pa.array([shingle_set(t).tobytes() for t in strings(column)], pa.binary())
 
     return run(text)
@@ -112,6 +114,7 @@ def sets_of(text: Column) -> Column:
 def verified(a: Column, b: Column) -> Column:
     @F.arrow_udf("boolean")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        sole("near copies")
         pairs = zip(x, y, strict=True)
         return pa.array([alike(*(np.frombuffer(s.as_py(), dtype=np.uint64) for s in p)) for p in pairs], pa.bool_())
 
@@ -138,6 +141,7 @@ def tree_links(nodes: list[int], labels: list[int], prints: list[int], sets: lis
 
 
 def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("near copies")
     for _, (nodes, labels, prints, sets) in sorted_groups(batches, 3):
         found = list(tree_links(nodes.tolist(), labels.tolist(), prints.view(np.uint64).tolist(), [np.frombuffer(s, dtype=np.uint64) for s in sets]))
         if found:

@@ -16,6 +16,10 @@ from glyphloom.llm import sentencepiece_codec as C
 from glyphloom.llm.common import read_table, strings
 
 
+#: Units in a generation of the cache: this query has its workers to itself.
+UNITS = 120_000
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -27,7 +31,7 @@ def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str, path: str | None =
 
     @F.arrow_udf("n_tokens bigint, ids_crc32 bigint, decoded_chars bigint, round_trip boolean, parity boolean")
     def run(column: pa.Array) -> pa.Array:
-        c = C.codec(path, verify=True)
+        c = C.codec(path, verify=True, generation=UNITS)
         texts = list(strings(column))
         rows = []
         for t, ids in zip(texts, c.encode(texts), strict=True):

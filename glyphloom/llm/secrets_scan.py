@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import fresh, hash_fraction, strings
+from glyphloom.llm.common import fresh, hash_fraction, sole, strings
 from glyphloom.llm.grammar import SMOOTH, Automaton, infer
 
 KINDS = ("assign", "access", "hex", "grammar")
@@ -253,6 +253,7 @@ def scanned(text: Column, detector: Detector) -> Column:
 
     @F.arrow_udf("n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, masked string")
     def run(column: pa.Array) -> pa.Array:
+        sole("secrets")
         rows = []
         for t in strings(column):
             base = base_spans(t or "")

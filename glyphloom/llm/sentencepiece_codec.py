@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import strings
-from glyphloom.llm.unit_cache import UnitCache, by_size
+from glyphloom.llm.common import hold, sole, strings
+from glyphloom.llm.unit_cache import GENERATION, UnitCache, by_size
 
 MARKER = "▁"
 #: Kinds of pieces and models in the public protocol definition.
@@ -176,13 +176,13 @@ def marking(m: Model):
 class Codec:
     """Encodes and decodes with one model file."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, generation: int = GENERATION) -> None:
         self.model = parse(data)
         self.tokenizer = build(self.model)
         self.marking = marking(self.model)
         self.by_units = not crosses(self.model)
         self.dtype = "<u2" if len(self.model.pieces) <= 1 << 16 else "<u4"
-        self.cache = UnitCache(self._encode_batch, self.dtype)
+        self.cache = UnitCache(self._encode_batch, self.dtype, generation)
         self.reference = None
         #: Units whose ids differ from the reference's; empty as long as there is none.
         self.differing: set[str] = set()
@@ -290,7 +290,7 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, threads: int = 2, verify: bool = False) -> Codec:
+def codec(path: str, threads: int = 2, verify: bool = False, generation: int = GENERATION) -> Codec:
     """The codec of a model file that every machine has at ``path``.
 
     With ``verify``, whatever the codec encodes (each distinct unit once) is also encoded by the SentencePiece library
@@ -299,7 +299,8 @@ def codec(path: str, threads: int = 2, verify: bool = False) -> Codec:
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     with open(path, "rb") as f:
-        found = Codec(f.read())
+        found = Codec(f.read(), generation)
+    hold("sentencepiece", codec.cache_clear)
     if verify:
         import sentencepiece
 
@@ -321,6 +322,7 @@ def encoded(text: Column, path: str, threads: int = 2) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
+        sole("sentencepiece")
         c = codec(path, threads)
         ids = c.encode(strings(column))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)

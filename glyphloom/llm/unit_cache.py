@@ -11,7 +11,7 @@ from array import array
 from collections.abc import Callable, Iterable
 
 #: Units in a generation, longest unit that is kept, and characters of units encoded in one call.
-GENERATION = 120_000
+GENERATION = 40_000
 LONGEST = 64
 CALL_CHARS = 1 << 20
 
@@ -19,7 +19,8 @@ CALL_CHARS = 1 << 20
 class UnitCache:
     """``encode`` maps a list of distinct units to their ids, each a sequence of integers."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], kind: str) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable], kind: str, generation: int = GENERATION) -> None:
+        self.generation = generation
         self.encode, self.code = encode, {"<u2": "H", "<u4": "I"}[kind]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -61,7 +62,7 @@ class UnitCache:
         out = [b"".join(map(young.__getitem__, units)) for units in texts]
         for u in large:
             del young[u]
-        if len(self.young) > GENERATION:
+        if len(self.young) > self.generation:
             self.old, self.young = self.young, {}
         return out
 
