@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glyphloom.llm import language_id, licences, mixing, quality_rules, secrets_scan, simhash, token_files, toxicity
-from glyphloom.llm.common import scratch_path
+from glyphloom.llm.common import scratch_path, sole
 from glyphloom.llm.op2 import tokenizer_path
 from glyphloom.llm.queries import QUERIES
 
@@ -105,3 +105,15 @@ def test_ledger_threshold_ties(spark):
     repeats = " ".join([f"x{k}" for k in range(5)] * 2 + [f"y{k}" for k in range(40)])
     rows = quality_rules.apply_policy(quality_rules.ledger(spark.createDataFrame([(1, ten), (2, repeats), (3, ten[:-3])], "doc_id long, text string")), "base")
     assert {r.doc_id: r.kept for r in rows.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_caches_let_go():
+    """A worker that turns to another operator drops what it held, and makes the same of the same text afterwards."""
+    text = "einige Wörter, some words"
+    wanted = language_id.encode(text)
+    assert language_id.memory().rows
+    sole("language")
+    assert language_id.memory().rows
+    sole("secrets")
+    assert language_id.memory.cache_info().currsize == 0
+    assert (language_id.encode(text) == wanted).all()
