@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions import draws
-from glyphloom.storage import kept, with_index
+from glyphloom.storage import kept, with_index, with_place
 
 SPLITS = ("train", "val")
 
@@ -24,13 +24,12 @@ def size_columns(n: Column, p: Column) -> tuple[Column, Column]:
     return n - val, val
 
 
-def vocabulary(words: DataFrame) -> DataFrame:
-    return words.select("word").distinct()
+def cyclic_extend(words: DataFrame, num_images: int, n: int | None = None) -> DataFrame:
+    """``k`` and ``word`` for k below num_images: row k is word number k modulo their count. Words come as ``i``, ``word``.
 
-
-def cyclic_extend(words: DataFrame, num_images: int) -> DataFrame:
-    """``k`` and ``word`` for k below num_images: row k is word number k modulo their count. Words come as ``i``, ``word``."""
-    n = words.count()
+    Where their count ``n`` is given, ``words`` may be the first ``num_images`` of them.
+    """
+    n = words.count() if n is None else n
     if n == 0:
         if num_images:
             raise ValueError("an empty word list cannot be extended")
@@ -51,29 +50,50 @@ def sliced(rows: DataFrame, num_images: int, val_percent: float) -> DataFrame:
     return rows.withColumn("split", F.when(F.col("rank") < train, "train").otherwise("val"))
 
 
-def missing(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``split`` and ``word`` of the words of the vocabulary that a split lacks."""
-    every = vocab.select("word", F.explode(F.array(*map(F.lit, SPLITS))).alias("split"))
-    return every.join(rows.select("split", "word").distinct(), ["split", "word"], "left_anti").select("split", "word")
+def missing(rows: DataFrame, every: DataFrame) -> DataFrame:
+    """``split`` and ``word`` of the words of ``every``, which may repeat them, that a split lacks.
 
+    The splits that have a word are bits of a number, so the words are dealt out once, for both splits and for being distinct.
+    """
+    listed = 1 << len(SPLITS)
+    bit = F.coalesce(*(F.when(F.col("split") == s, 1 << k) for k, s in enumerate(SPLITS)))
+    seen = every.select("word", F.lit(listed).alias("_in")).unionByName(rows.select("word", bit.alias("_in")))
+    held = seen.groupBy("word").agg(F.bit_or("_in").alias("_in")).where(F.col("_in") >= listed)
+    lacking = F.array(*(F.when(F.col("_in").bitwiseAND(1 << k) == 0, s) for k, s in enumerate(SPLITS)))
+    return held.select(F.explode(lacking).alias("split"), "word").where("split IS NOT NULL")
+
+
+def slices(words: DataFrame, num_images: int, val_percent: float, seed: int = 0, n: int | None = None) -> DataFrame:
+    """``split``, ``rank``, ``word`` of the slices in random order, stored. ``n`` as for ``cyclic_extend``."""
+    rows = sliced(shuffled(cyclic_extend(words, num_images, n), seed), num_images, val_percent)
+    return kept(rows.select("split", "rank", "word"), "slices")
 
-def split_words(words: DataFrame, num_images: int, val_percent: float, seed: int = 0, dedupe: bool = False) -> DataFrame:
-    """``split``, ``idx``, ``word``, ``added``: the slices in random order, then the words they lack.
 
-    Rows of equal words all stay; with ``dedupe`` the first of each split does.
+def completed(rows: DataFrame, every: DataFrame, n: int, seed: int = 0, dedupe: bool = False) -> DataFrame:
+    """``split``, ``idx``, ``word``, ``added``: the slices in their order, then the words of ``every`` that they lack.
+
+    Rows of equal words all stay; with ``dedupe`` the first of each split does. ``n`` is the number of words. The words are dealt out
+    twice, to find what a split lacks and to number that, and not written.
     """
-    rows = kept(sliced(shuffled(cyclic_extend(words, num_images), seed), num_images, val_percent), "slices")
-    lacking = missing(rows, vocabulary(words))
-    own = rows.select("split", "word", F.lit(0).alias("added"), F.format_string("%019d", "rank").alias("_o"))
-    more = lacking.select("split", "word", F.lit(1).alias("added"), draws.digest(seed, "added", "split", "word").alias("_o"))
-    both = own.unionByName(more)
+    own = rows.select("split", F.col("rank").alias("_i"), "word")
     if dedupe:
-        first = both.groupBy("split", "word").agg(F.min(F.struct("added", "_o")).alias("_f"))
-        both = first.select("split", "word", "_f.added", "_f._o")
-    ordered = kept(with_index(both, [F.col("split"), F.col("added"), F.col("_o"), F.col("word")], "_i"), "split")
+        first = own.groupBy("split", "word").agg(F.min("_i").alias("_i")).select("split", "_i", "word")
+        own = with_index(first.withColumnRenamed("_i", "rank"), [F.col("split"), F.col("rank")], "_i")
     # Two rows.
-    starts = ordered.groupBy("split").agg(F.min("_i").alias("_start"))
-    return ordered.join(F.broadcast(starts), "split").select("split", (F.col("_i") - F.col("_start")).alias("idx"), "word", "added")
+    starts = {r["split"]: (r["start"], r["n"]) for r in own.groupBy("split").agg(F.min("_i").alias("start"), F.count("*").alias("n")).collect()}
+
+    def of(k: int) -> Column:
+        return F.coalesce(*(F.when(F.col("split") == s, starts.get(s, (0, 0))[k]) for s in SPLITS)).cast("bigint")
+
+    more = with_place(missing(rows, every), "split", draws.digest(seed, "added", "split", "word"), [F.col("word")], n, "_i")
+    own = own.select("split", (F.col("_i") - of(0)).alias("idx"), "word", F.lit(0).alias("added"))
+    return own.unionByName(more.select("split", (F.col("_i") + of(1)).alias("idx"), "word", F.lit(1).alias("added")))
+
+
+def split_words(words: DataFrame, num_images: int, val_percent: float, seed: int = 0, dedupe: bool = False) -> DataFrame:
+    """``split``, ``idx``, ``word``, ``added``: the slices of ``words`` (``i``, ``word``) in random order, then the words they lack."""
+    n = words.count()
+    return completed(slices(words, num_images, val_percent, seed, n), words, n, seed, dedupe)
 
 
 def manifest(rows: DataFrame, output_dir: str) -> DataFrame:

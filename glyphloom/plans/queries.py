@@ -50,6 +50,15 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     return wordlist.words_of(read(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
 
 
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The words without their numbers, which they need not be dealt out for."""
+    return wordlist.entries(read(spark, sf, "documents").select("doc_id", "text"), ["doc_id"]).select("word")
+
+
+def first_words(spark: SparkSession, sf: str, num: int) -> tuple[DataFrame, int]:
+    return wordlist.first_words(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", num)
+
+
 def distinct_words(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "documents").select(F.explode(text.lines(F.col("text"))).alias("line"))
     return rows.select(text.strip(F.col("line")).alias("word")).where("word <> ''").distinct()
@@ -122,48 +131,55 @@ RANKED = extended(N) + f""", ranked AS (
 
 @query(f"WITH {extended(20000)} SELECT k, word FROM ext")
 def cyclic_extend(spark, sf):
-    return splitter.cyclic_extend(kept(words(spark, sf), "words"), 20000)
+    own, n = first_words(spark, sf, 20000)
+    return splitter.cyclic_extend(own, 20000, n)
 
 
 @query(f"WITH {extended(700)} SELECT k, word FROM ext")
 def cyclic_truncate(spark, sf):
-    return splitter.cyclic_extend(kept(words(spark, sf), "words"), 700)
+    own, n = first_words(spark, sf, 700)
+    return splitter.cyclic_extend(own, 700, n)
 
 
-def _sliced(spark, sf):
-    own = kept(words(spark, sf), "words")
-    return own, splitter.sliced(splitter.shuffled(splitter.cyclic_extend(own, N), SEED), N, P)
+def _slices(spark, sf) -> tuple[DataFrame, int]:
+    """The slices, and the number of all words."""
+    own, n = first_words(spark, sf, N)
+    return splitter.slices(own, N, P, SEED, n), n
+
+
+def _completed(spark, sf) -> DataFrame:
+    rows, n = _slices(spark, sf)
+    return splitter.completed(rows, entries(spark, sf), n, SEED)
 
 
 @query(f"WITH {RANKED} SELECT k, word, rank FROM ranked")
 def shuffle_rank(spark, sf):
-    return splitter.shuffled(splitter.cyclic_extend(kept(words(spark, sf), "words"), N), SEED).select("k", "word", "rank")
+    own, n = first_words(spark, sf, N)
+    return splitter.shuffled(splitter.cyclic_extend(own, N, n), SEED).select("k", "word", "rank")
 
 
 @query(f"WITH {RANKED} SELECT split, count(*) AS n_rows, count(DISTINCT word) AS n_words FROM sliced GROUP BY split")
 def split_slices(spark, sf):
-    return _sliced(spark, sf)[1].groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("word").alias("n_words"))
+    return _slices(spark, sf)[0].groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("word").alias("n_words"))
 
 
 @query(f"WITH {RANKED} SELECT split, word FROM missing")
 def split_missing_words(spark, sf):
-    own, rows = _sliced(spark, sf)
-    return splitter.missing(rows, splitter.vocabulary(own))
+    return splitter.missing(_slices(spark, sf)[0], entries(spark, sf))
 
 
 @query(f"""WITH {RANKED} SELECT split, idx, printf('%05d.png', idx) AS filename,
 '{OUT}/' || split || '/images/' || printf('%05d.png', idx) AS save_path, word, added FROM manifest""")
 def split_manifest(spark, sf):
-    own = kept(words(spark, sf), "words")
-    return splitter.manifest(splitter.split_words(own, N, P, SEED), OUT).select("split", "idx", "filename", "save_path", "word", "added")
+    return splitter.manifest(_completed(spark, sf), OUT).select("split", "idx", "filename", "save_path", "word", "added")
 
 
 @query(f"WITH {RANKED} SELECT split, count(*) AS n_all, count(DISTINCT word) AS n_deduped FROM split GROUP BY split")
 def split_dedupe_mode(spark, sf):
-    own = kept(words(spark, sf), "words")
-    every = splitter.split_words(own, N, P, SEED).groupBy("split").agg(F.count("*").alias("n_all"))
-    once = splitter.split_words(own, N, P, SEED, dedupe=True).groupBy("split").agg(F.count("*").alias("n_deduped"))
-    return every.join(once, "split")
+    rows, n = _slices(spark, sf)
+    # Both forms are made of the same slices and lacking words, which Spark so deals out once.
+    all_rows, once = (splitter.completed(rows, entries(spark, sf), n, SEED, dedupe) for dedupe in (False, True))
+    return all_rows.groupBy("split").agg(F.count("*").alias("n_all")).join(once.groupBy("split").agg(F.count("*").alias("n_deduped")), "split")
 
 
 NAMES = ["a.ttf", "B.TTF", "c.otf", "d.ttc", "e.PNG", "f.jpeg", "g.jpg.txt", "h", ".png", "i.woff", "j.JpG"]
@@ -472,8 +488,7 @@ RESULTS_SQL = f"{RANKED}, results AS (SELECT split, idx, word, printf('%05d.png'
 
 
 def _results(spark, sf):
-    own = kept(words(spark, sf), "words")
-    rows = splitter.manifest(splitter.split_words(own, N, P, SEED), OUT)
+    rows = splitter.manifest(_completed(spark, sf), OUT)
     return rows.withColumn("success", draws.bernoulli(0.9, SEED, "ok", "split", "idx"))
 
 

@@ -9,11 +9,40 @@ from glyphloom.functions import text
 from glyphloom.storage import with_index
 
 
+#: Ranges of keys that ``first_words`` counts by.
+RANGES = 64
+
+
+def entries(docs: DataFrame, order: list[str], column: str = "text") -> DataFrame:
+    """The non-blank lines of a table of texts as ``word``, with ``pos`` and the columns of the order, not numbered."""
+    lines = docs.select(*order, F.posexplode(text.lines(F.col(column))).alias("pos", "line"))
+    return lines.select(*order, "pos", text.strip(F.col("line")).alias("word")).where("word <> ''")
+
+
 def words_of(docs: DataFrame, order: list[str], column: str = "text") -> DataFrame:
     """``i`` and ``word`` of the non-blank lines of a table of texts, in the order of its rows and of their lines."""
-    lines = docs.select(*order, F.posexplode(text.lines(F.col(column))).alias("pos", "line"))
-    words = lines.select(*order, "pos", text.strip(F.col("line")).alias("word")).where("word <> ''")
-    return with_index(words, [F.col(c).asc_nulls_first() for c in (*order, "pos")]).select("i", "word")
+    return with_index(entries(docs, order, column), [F.col(c).asc_nulls_first() for c in (*order, "pos")]).select("i", "word")
+
+
+def first_words(docs: DataFrame, key: str, num: int, column: str = "text") -> tuple[DataFrame, int]:
+    """``i`` and ``word`` as ``words_of`` numbers them by ``key``, for i below ``num``; and the number of all words.
+
+    The words of all texts are counted by ranges of the key. Only the texts of the ranges that hold the first ``num`` words have
+    their words dealt out and numbered.
+    """
+    sizes = entries(docs, [key], column).groupBy(key).agg(F.count("*").alias("n"))
+    dealt = sizes.repartitionByRange(RANGES, F.col(key).asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    # One row for each range.
+    ranges = dealt.groupBy("part").agg(F.sum("n").alias("n"), F.max(key).alias("last")).sort("part").collect()
+    before = 0
+    for r in ranges:
+        before += r["n"]
+        if before >= num:
+            # Nulls come first; a range of nothing else has no last key.
+            kind = docs.schema[key].dataType
+            docs = docs.where(F.col(key).isNull() | (F.col(key) <= F.lit(r["last"]).cast(kind)))
+            break
+    return words_of(docs, [key], column).where(F.col("i") < num), sum(r["n"] for r in ranges)
 
 
 def _marked(spark: SparkSession, files: list[str]) -> list[str]:

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block of ``with_place``, as far as there are no more than 2 to the power of BLOCK_BITS blocks in a group.
+BLOCK_ROWS, BLOCK_BITS = 1024, 16
+
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with scheme and authority, by Spark's default file system where it names none."""
@@ -50,3 +53,22 @@ def with_index(df: DataFrame, order: list[Column], name: str = "i") -> DataFrame
     numbered = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
     place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))
+
+
+def with_place(df: DataFrame, group: str, digest: Column, ties: list[Column], most: int, name: str = "i") -> DataFrame:
+    """Numbers each group's rows from 0 in the order of a hexadecimal digest, then of ``ties``; that order must be total.
+
+    Digests are spread evenly, so a row's block is the head of its digest. Blocks are numbered on their own and shifted by the rows
+    of the blocks before. A block follows from the row alone: nothing has to be written, and rows are dealt out once. ``most`` is
+    about how many rows a group has at most; it only sets the number of blocks.
+    """
+    bits = min(BLOCK_BITS, max(0, (max(most, 1) // BLOCK_ROWS).bit_length()))
+    block = F.shiftright(F.conv(F.substring(digest, 1, BLOCK_BITS // 4), 16, 10).cast("int"), BLOCK_BITS - bits)
+    rows = df.withColumn("_block", block)
+    sizes = rows.groupBy(group, "_block").agg(F.count("*").alias("_n"))
+    before = sizes.select(group, "_block", (F.sum("_n").over(Window.partitionBy(group).orderBy("_block")) - F.col("_n")).alias("_before"))
+    order = Window.partitionBy(group, "_block").orderBy(digest, *ties)
+    # The digest is made again after the rows are dealt, as it is long.
+    numbered = rows.repartition(group, "_block").withColumn("_place", F.row_number().over(order) - 1)
+    # So many rows at most for each group: 2 to the power of BLOCK_BITS.
+    return numbered.join(F.broadcast(before), [group, "_block"]).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_place")).alias(name))
