@@ -42,6 +42,11 @@ def test_split_dedupe_mode(spark, lines, tmp_path):
     assert same(QUERIES["split_dedupe_mode"](spark, lines[0]), tables(lines[0]), SQL["split_dedupe_mode"])
 
 
+def test_split_manifest(spark, lines, tmp_path):
+    most(spark, lines, tmp_path, "split_manifest", 7)
+    assert same(QUERIES["split_manifest"](spark, lines[0]), tables(lines[0]), SQL["split_manifest"])
+
+
 @pytest.mark.parametrize("num", [1, 7, 29, 30, 1000])
 def test_first_words(spark, num):
     """The same numbers as over the whole list; keys that are null or repeated included."""
