@@ -51,6 +51,10 @@ def test_label_map_sizes(spark, lines, tmp_path):
     most(spark, lines, tmp_path, "label_map_sizes", 7)
 
 
+def test_label_manifest(spark, lines, tmp_path):
+    most(spark, lines, tmp_path, "label_manifest", 7)
+
+
 @pytest.mark.parametrize("num", [1, 7, 29, 30, 1000])
 def test_first_words(spark, num):
     """The same numbers as over the whole list; keys that are null or repeated included."""
