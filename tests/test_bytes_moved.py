@@ -59,6 +59,10 @@ def test_progress_running(spark, lines, tmp_path):
     most(spark, lines, tmp_path, "progress_running", 5)
 
 
+def test_run_summary(spark, lines, tmp_path):
+    most(spark, lines, tmp_path, "run_summary", 5)
+
+
 @pytest.mark.parametrize("num", [1, 7, 29, 30, 1000])
 def test_first_words(spark, num):
     """The same numbers as over the whole list; keys that are null or repeated included."""
