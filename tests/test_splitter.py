@@ -2,11 +2,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from glyphloom.operators import fonts, splitter
+from glyphloom.plans.queries import QUERIES
 from glyphloom.sources import sinks, wordlist
 
 
@@ -104,3 +107,32 @@ def test_progress_blocks(spark, monkeypatch):
         monkeypatch.setattr(sinks, "BLOCK", block)
         made.append(sorted(map(tuple, sinks.progress(rows, 10).collect())))
     assert made[0] == made[1] and made[0][-1][1] == 334
+
+
+@pytest.mark.parametrize("name", ["font_unsupported"])
+def test_no_rows_of_characters(spark, sf, name):
+    """Words are matched where they lie: no set of characters is made, dealt out or joined."""
+    made = QUERIES[name](spark, sf)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "array_distinct" not in final and "Join" not in final
+    assert final.count("Exchange hashpartitioning") == 1
+
+
+def test_cover(monkeypatch):
+    """Against sets, for more fonts than bits in a number, words longer than a step, empty words, nulls and bytes that aren't UTF-8."""
+    rnd = random.Random(1)
+    own = [{c for c in "abcd é😀\0" if rnd.random() < 0.9} for _ in range(70)]
+    chars = sorted(set().union(*own))
+    masks = [[sum((c in own[64 * b + k]) << k for k in range(min(64, 70 - 64 * b))) for b in range(2)] for c in chars]
+    cover = fonts.Cover(chars, np.array(masks, np.uint64).astype(np.int64))
+    words = ["", None, "a", "x", "aé😀", "abcd é😀" * 3, "", *("".join(rnd.choice("abcd é😀\0") for _ in range(rnd.randint(0, 9))) for _ in range(200)), ""]
+    wanted = [[bool(w) and set(w) <= f for f in own] for w in words]
+    for step in (1, 7, 1 << 20):
+        monkeypatch.setattr(fonts, "LOOKED_UP", step)
+        found = cover.of(pa.array(words, pa.string()))
+        assert [[bool(int(r[k // 64]) >> (k % 64) & 1) for k in range(70)] for r in found] == wanted
+    raw = pa.array([b"a", b"a\xff", b"\xf0\x9f", b"a"], pa.binary())
+    odd = cover.of(pa.StringArray.from_buffers(4, raw.buffers()[1], raw.buffers()[2]))
+    assert odd[0].any() and (odd[0] == odd[3]).all() and not odd[1:3].any()
