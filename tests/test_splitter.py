@@ -109,7 +109,7 @@ def test_progress_blocks(spark, monkeypatch):
     assert made[0] == made[1] and made[0][-1][1] == 334
 
 
-@pytest.mark.parametrize("name", ["font_unsupported"])
+@pytest.mark.parametrize("name", ["font_unsupported", "font_match_division"])
 def test_no_rows_of_characters(spark, sf, name):
     """Words are matched where they lie: no set of characters is made, dealt out or joined."""
     made = QUERIES[name](spark, sf)
